@@ -6,6 +6,8 @@ squared distances are used for every comparison (the square root is monotone).
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,12 +36,66 @@ def rdist_to_dist(r: Column) -> Column:
     return F.sqrt(r)
 
 
+def json_literal(value, ddl: str) -> Column:
+    """A literal of any size as ONE expression node: ``from_json`` over a string
+    literal, constant-folded by the optimizer into a single value.  (An
+    ``array(lit, lit, ...)`` tree of thousands of nodes makes analysis slow.)"""
+    return F.from_json(F.lit(json.dumps(value, ensure_ascii=False)), ddl)
+
+
+def double_array(values) -> Column:
+    """``array<double>`` literal."""
+    return json_literal([float(v) for v in values], "array<double>")
+
+
+def string_array(values) -> Column:
+    """``array<string>`` literal."""
+    return json_literal([str(v) for v in values], "array<string>")
+
+
+def long_array(values) -> Column:
+    """``array<bigint>`` literal."""
+    return json_literal([int(v) for v in values], "array<bigint>")
+
+
 def literal_matrix(rows) -> Column:
     """A small matrix (list of float lists) as an ``array<array<double>>`` literal."""
-    return F.array(*[F.array(*[F.lit(float(v)) for v in r]) for r in rows]).cast("array<array<double>>")
+    return json_literal([[float(v) for v in r] for r in rows], "array<array<double>>")
 
 
 def nearest(vec: Column, centers: Column) -> Column:
     """Index (0-based) of the nearest center; ties go to the lowest index."""
     d = F.transform(centers, lambda c: squared_distance(vec, c))
     return (F.array_position(d, F.array_min(d)) - 1).cast("int")
+
+
+def sorted_position(sorted_keys, key: Column) -> Column:
+    """1-based position of ``key`` in the sorted literal list ``sorted_keys`` (0 when absent).
+
+    A binary search written with ``aggregate``: O(log n) array reads per lookup
+    against a literal array, instead of the linear key scan a literal map lookup
+    does.  Keys must be sorted in code-point (= UTF-8 byte, Spark's) order.
+    """
+    n = len(sorted_keys)
+    if n == 0:
+        return F.lit(0)
+    keys = string_array(sorted_keys)
+    steps = max(1, int(n).bit_length() + 1)
+    init = F.struct(F.lit(1).alias("lo"), F.lit(n + 1).alias("hi"))
+
+    def step(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        below = F.element_at(keys, mid) < key
+        nxt = F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
+                       F.when(below, s["hi"]).otherwise(mid).alias("hi"))
+        return F.when(s["lo"] < s["hi"], nxt).otherwise(s)
+
+    lo = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    return F.when((lo <= F.lit(n)) & (F.element_at(keys, F.least(lo, F.lit(n))) == key), lo).otherwise(F.lit(0))
+
+
+def in_list_filter(array_col: str, field: str, values) -> Column:
+    """``filter(array_col, x -> x.field IN (values))`` with the list written once in
+    SQL: the optimizer turns a long literal IN list into a hash-set lookup."""
+    items = ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
+    return F.expr(f"filter(`{array_col}`, x -> x.`{field}` IN ({items}))")

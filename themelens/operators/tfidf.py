@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions import vectors as vx
 from ..functions.lexicon import STOP_WORDS
 
 #: largest vocabulary that is attached to rows as a literal map
@@ -163,17 +164,22 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
         vocab_df = spark.createDataFrame(
             [(t, i, r["df"], r["cf"], w) for i, (t, r, w) in enumerate(zip(terms, rows, idf))],
             "term string, term_id int, df long, cf long, idf double")
-        idf_map = F.map_from_arrays(F.lit(terms), F.lit(idf))
-        kept = F.filter("tf", lambda x: F.map_contains_key(idf_map, x["term"]))
-        out = docs_tf.withColumn("tf_kept", kept)
-        out = out.withColumn("weights", F.transform(
-            "tf_kept", lambda x: F.struct(x["term"].alias("term"),
-                                          (x["tf"] * F.element_at(idf_map, x["term"])).alias("w"))))
+        idf_arr = vx.double_array(idf)
+        # attach the vocabulary position of every term (binary search in the sorted
+        # vocabulary literal), keep vocabulary terms only, weight with their idf
+        pos = F.transform(vx.in_list_filter("tf", "term", terms), lambda x: F.struct(
+            x["term"].alias("term"), x["tf"].alias("tf"), vx.sorted_position(terms, x["term"]).alias("p")))
+        out = docs_tf.withColumn("_pos", pos)
+        out = out.withColumn("tf_kept", F.transform(F.filter("_pos", lambda x: x["p"] > 0), lambda x: F.struct(
+            x["term"].alias("term"), (x["p"] - 1).alias("term_id"), x["tf"].alias("tf"))))
+        out = out.withColumn("weights", F.transform("tf_kept", lambda x: F.struct(
+            x["term"].alias("term"), x["term_id"].alias("term_id"),
+            (x["tf"] * F.element_at(idf_arr, x["term_id"] + 1)).alias("w"))))
         norm = F.sqrt(F.aggregate("weights", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
         out = (out.withColumn("_norm", norm)
                   .withColumn("tfidf", F.transform("weights", lambda x: F.struct(
-                      x["term"].alias("term"), (x["w"] / F.col("_norm")).alias("w"))))
-                  .drop("_norm", "tf"))
+                      x["term"].alias("term"), x["term_id"].alias("term_id"), (x["w"] / F.col("_norm")).alias("w"))))
+                  .drop("_norm", "_pos", "tf"))
         return TfidfModel(out, vocab_df, n_docs, terms, idf, doc_col)
 
     # unbounded vocabulary: join + window, nothing collected
@@ -184,14 +190,14 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
                 .withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1))
     long = (tx.explode_rows(docs_tf, [doc_col], "tf")
             .select(doc_col, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
-            .join(vocab_df.select("term", "idf"), "term")
+            .join(vocab_df.select("term", "term_id", "idf"), "term")
             .withColumn("w", F.col("tf") * F.col("idf")))
     long = long.withColumn("tfidf", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(
         Window.partitionBy(doc_col))))
     per_doc = (long.groupBy(doc_col).agg(
-        F.collect_list(F.struct("term", "tf")).alias("tf_kept"),
-        F.collect_list(F.struct("term", "w")).alias("weights"),
-        F.collect_list(F.struct("term", F.col("tfidf").alias("w"))).alias("tfidf")))
+        F.collect_list(F.struct("term", "term_id", "tf")).alias("tf_kept"),
+        F.collect_list(F.struct("term", "term_id", "w")).alias("weights"),
+        F.collect_list(F.struct("term", "term_id", F.col("tfidf").alias("w"))).alias("tfidf")))
     out = docs_tf.drop("tf").join(per_doc, doc_col, "left")
     for c in ("tf_kept", "weights", "tfidf"):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))

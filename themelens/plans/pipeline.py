@@ -36,20 +36,21 @@ def theme_pipeline(records: DataFrame, k: int = 6, top_n: int = 15, method: str
     carry = [c for c in lx.RESULT_COLUMNS + ["lang"] if c in records.columns and c != "doc_id"]
     prepared = textprep.prepare_text(records, lemmas=lemmas)
     model = tfidf.fit_tfidf(prepared, keep_columns=carry, **(tfidf_params or {}))
-    vec = model.with_vectors("features")
+    vec = model.with_vectors("features").persist()       # K-means makes several passes
     if method == "kmeans":
         _, docs = kmeans.kmeans_fit(vec, "features", k=k, seed=seed)
     else:
         _, docs = kmeans.cluster(vec, method)
-    docs = docs.persist()
+    docs = docs.drop("features").persist()
     keywords = themes.cluster_keywords(docs, top_n=top_n)
     names = themes.name_clusters(keywords, themes.theme_table(records.sparkSession, lexicon))
     named = themes.attach_names(docs, names)
     if reduction == "pca":
-        named = projection.pca_project_features(named, "features")
+        mean, comps, _ = projection.pca_sparse(docs, model.vocab_terms, model.n_docs, k=2, seed=seed)
+        named = projection.project_sparse(named, model.vocab_terms, mean, comps)
     elif reduction is not None:
         raise ValueError(f"unsupported reduction method: {reduction!r}")
-    return PipelineResult(named.drop("features", "tf_kept", "weights"), keywords, names, model)
+    return PipelineResult(named.drop("tf_kept", "weights"), keywords, names, model)
 
 
 def theme_pipeline_result(spark, sf_dir: str) -> DataFrame:
