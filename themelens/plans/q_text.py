@@ -230,3 +230,35 @@ SELECT cluster, CAST(rank AS BIGINT) AS rank, term, round(score, 6) AS score FRO
 def q_cluster_keywords(spark, sf_dir):
     k = themes.cluster_keywords(_lang_docs(spark, sf_dir), top_n=15)
     return k.select("cluster", F.col("rank").cast("long").alias("rank"), "term", F.round("score", 6).alias("score"))
+
+
+# ------------------------------------------------------------------ T5 lemma lookup
+#: fixed test parameter: a small lemma table over frequent words of the test corpus
+TEST_LEMMAS = [("the", "the", "DET"), ("and", "and", "CCONJ"), ("of", "of", "ADP"), ("la", "el", "DET"),
+               ("le", "le", "DET"), ("des", "de", "ADP"), ("die", "der", "DET"), ("is", "be", "AUX"),
+               ("es", "ser", "AUX"), ("et", "et", "PUNCT"), ("a", "a", "SYM"), ("to", "to", "PART")]
+
+
+def _lemma_sql():
+    from .. operators.lemmas import DROP_POS, LEMMA_TOKEN_PATTERN
+    vals = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TEST_LEMMAS)
+    drop = ", ".join(f"'{x}'" for x in DROP_POS)
+    return SQL_PREP + f""",
+lem(surface, lemma, pos) AS (VALUES {vals}),
+tk AS (
+  SELECT doc_id, unnest(regexp_extract_all(txt, '{LEMMA_TOKEN_PATTERN}')) AS t,
+         generate_subscripts(regexp_extract_all(txt, '{LEMMA_TOKEN_PATTERN}'), 1) AS i FROM prep),
+j AS (
+  SELECT tk.doc_id, tk.i, coalesce(l.lemma, tk.t) AS lemma,
+         coalesce(l.pos, CASE WHEN regexp_matches(tk.t, '^[.]+$') THEN 'PUNCT'
+                              WHEN regexp_matches(tk.t, '^\\p{{N}}+$') THEN 'NUM' ELSE 'X' END) AS tag
+  FROM tk LEFT JOIN lem l ON l.surface = tk.t),
+agg AS (SELECT doc_id, string_agg(lemma, ' ' ORDER BY i) AS lem FROM j WHERE tag NOT IN ({drop}) GROUP BY doc_id)
+SELECT p.doc_id, coalesce(agg.lem, '') AS texto_processado FROM prep p LEFT JOIN agg USING (doc_id)"""
+
+
+@query("lemmatize", oracle=_lemma_sql())
+def q_lemmatize(spark, sf_dir):
+    lemmas = spark.createDataFrame(TEST_LEMMAS, "surface string, lemma string, pos string")
+    p = textprep.prepare_text(_records(spark, sf_dir), lemmas=lemmas, keep_short=True)
+    return p.select("doc_id", "texto_processado")

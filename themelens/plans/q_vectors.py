@@ -159,3 +159,33 @@ def q_pca_reduce(spark, sf_dir):
     e = _emb(spark, sf_dir)
     n = e.count()
     return projection.pca_reduce(e, n).select("vec_id", "reduced")
+
+
+MIN_SAMPLES = 5
+
+
+@query("core_distance", oracle=SQL_LONG + f""",
+pairs AS (
+  SELECT a.vec_id AS id, b.vec_id AS other, sum((a.x - b.x) * (a.x - b.x)) AS r
+  FROM lv a JOIN lv b ON a.dim = b.dim GROUP BY a.vec_id, b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(r, 9), other) AS rk FROM pairs)
+SELECT id AS vec_id, round(sqrt(r), 6) AS core_distance FROM ranked WHERE rk = {MIN_SAMPLES}""")
+def q_core_distance(spark, sf_dir):
+    from ..operators.density import core_distances
+    c = core_distances(_emb(spark, sf_dir), MIN_SAMPLES)
+    return c.select("vec_id", F.round("core_distance", 6).alias("core_distance"))
+
+
+@query("mutual_reachability", oracle=SQL_LONG + f""",
+pairs AS (
+  SELECT a.vec_id AS id, b.vec_id AS other, sum((a.x - b.x) * (a.x - b.x)) AS r
+  FROM lv a JOIN lv b ON a.dim = b.dim GROUP BY a.vec_id, b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(r, 9), other) AS rk FROM pairs),
+core AS (SELECT id, sqrt(r) AS c FROM ranked WHERE rk = {MIN_SAMPLES}),
+near AS (SELECT id AS id_a, other AS id_b, sqrt(r) AS d FROM pairs WHERE id < other AND r <= {RANGE_T} * {RANGE_T})
+SELECT n.id_a, n.id_b, round(n.d, 6) AS distance, round(greatest(ca.c, cb.c, n.d), 6) AS weight
+FROM near n JOIN core ca ON ca.id = n.id_a JOIN core cb ON cb.id = n.id_b""")
+def q_mutual_reachability(spark, sf_dir):
+    from ..operators.density import mutual_reachability
+    m = mutual_reachability(_emb(spark, sf_dir), MIN_SAMPLES, RANGE_T)
+    return m.select("id_a", "id_b", F.round("distance", 6).alias("distance"), F.round("weight", 6).alias("weight"))
