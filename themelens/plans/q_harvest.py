@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
@@ -199,3 +201,17 @@ def q_extraction_stats(spark, sf_dir):
     p = _pages(spark, sf_dir)
     links = p.select(F.col("url").alias("link"))
     return harvest.extraction_stats(links, harvest.extract_records(p))
+
+
+@query("stream_records", oracle=SQL_TITLES + """
+SELECT page_id, titulo, p.url AS link_acesso
+FROM pages p JOIN t USING (page_id) WHERE titulo <> ''""")
+def q_stream_records(spark, sf_dir):
+    """The page table read as a file stream, harvested batch by batch into a sink."""
+    import uuid
+    from ..session import ensure_checkpoint_dir
+    from ..streaming import run_to_completion
+    root = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
+    out = run_to_completion(spark, sf_dir, os.path.join(root, "records"),
+                            checkpoint=os.path.join(root, "ckpt"), glob="pages.parquet")
+    return out.select("page_id", "titulo", "link_acesso")
