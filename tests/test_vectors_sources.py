@@ -36,7 +36,7 @@ def test_pairs_within_equals_brute_force(spark):
 def test_cross_knn_equals_brute_force(spark):
     x, df = _points(spark)
     left, right = df.filter("vec_id < 20"), df.filter("vec_id >= 20")
-    got = distances.cross_knn(left, right, k=3, chunk_rows=7).collect()   # several chunks
+    got = distances.cross_knn(left, right, k=3, radius=0.05).collect()   # several rounds
     for i in range(20):
         d = sorted((np.sum((x[i] - x[j]) ** 2), j) for j in range(20, len(x)))[:3]
         mine = sorted((r.rank, r.right_id) for r in got if r.left_id == i)

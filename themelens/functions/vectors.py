@@ -74,23 +74,25 @@ def sorted_position(sorted_keys, key: Column) -> Column:
 
     A binary search written with ``aggregate``: O(log n) array reads per lookup
     against a literal array, instead of the linear key scan a literal map lookup
-    does.  Keys must be sorted in code-point (= UTF-8 byte, Spark's) order.
+    does.  The search state (lo, hi) is packed into one long to keep each step
+    allocation-free.  Keys must be sorted in code-point (= UTF-8 byte, Spark's)
+    order.
     """
     n = len(sorted_keys)
     if n == 0:
         return F.lit(0)
     keys = string_array(sorted_keys)
     steps = max(1, int(n).bit_length() + 1)
-    init = F.struct(F.lit(1).alias("lo"), F.lit(n + 1).alias("hi"))
+    shift = F.lit(1 << 32)
+    init = F.lit((1 << 32) + n + 1)                       # lo = 1, hi = n + 1
 
     def step(s, _):
-        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
-        below = F.element_at(keys, mid) < key
-        nxt = F.struct(F.when(below, mid + 1).otherwise(s["lo"]).alias("lo"),
-                       F.when(below, s["hi"]).otherwise(mid).alias("hi"))
-        return F.when(s["lo"] < s["hi"], nxt).otherwise(s)
+        lo, hi = (s / shift).cast("long"), s % shift
+        mid = ((lo + hi) / 2).cast("long")
+        below = F.element_at(keys, mid.cast("int")) < key
+        return F.when(lo >= hi, s).when(below, (mid + 1) * shift + hi).otherwise(lo * shift + mid)
 
-    lo = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step)["lo"]
+    lo = (F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step) / shift).cast("int")
     return F.when((lo <= F.lit(n)) & (F.element_at(keys, F.least(lo, F.lit(n))) == key), lo).otherwise(F.lit(0))
 
 
