@@ -96,6 +96,18 @@ def sorted_position(sorted_keys, key: Column) -> Column:
     return F.when((lo <= F.lit(n)) & (F.element_at(keys, F.least(lo, F.lit(n))) == key), lo).otherwise(F.lit(0))
 
 
+#: up to this many keys a linear, codegen-friendly scan beats the interpreted search
+LINEAR_LOOKUP_MAX = 4096
+
+
+def key_position(sorted_keys, key: Column) -> Column:
+    """1-based position of ``key`` in the sorted literal list (0 when absent):
+    ``array_position`` for short lists, binary search beyond."""
+    if len(sorted_keys) <= LINEAR_LOOKUP_MAX:
+        return F.array_position(string_array(sorted_keys), key).cast("int")
+    return sorted_position(sorted_keys, key)
+
+
 def in_list_filter(array_col: str, field: str, values) -> Column:
     """``filter(array_col, x -> x.field IN (values))`` with the list written once in
     SQL: the optimizer turns a long literal IN list into a hash-set lookup."""

@@ -44,7 +44,7 @@ def lemmatize(df: DataFrame, lemmas: DataFrame, text_col: str, out_col: str,
         pos = vx.string_array([r["pos"] for r in rows])
         out = df.withColumn("_tok", toks)
         out = out.withColumn("_tp", F.transform("_tok", lambda t: F.struct(
-            t.alias("t"), vx.sorted_position(keys, t).alias("i"))))
+            t.alias("t"), vx.key_position(keys, t).alias("i"))))
         out = out.withColumn("_tl", F.transform("_tp", lambda x: F.struct(
             F.when(x["i"] > 0, F.element_at(lem, x["i"])).otherwise(x["t"]).alias("lemma"),
             F.when(x["i"] > 0, F.element_at(pos, x["i"])).otherwise(_default_pos(x["t"])).alias("pos"))))

@@ -168,7 +168,7 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
         # attach the vocabulary position of every term (binary search in the sorted
         # vocabulary literal), keep vocabulary terms only, weight with their idf
         pos = F.transform(vx.in_list_filter("tf", "term", terms), lambda x: F.struct(
-            x["term"].alias("term"), x["tf"].alias("tf"), vx.sorted_position(terms, x["term"]).alias("p")))
+            x["term"].alias("term"), x["tf"].alias("tf"), vx.key_position(terms, x["term"]).alias("p")))
         out = docs_tf.withColumn("_pos", pos)
         out = out.withColumn("tf_kept", F.transform(F.filter("_pos", lambda x: x["p"] > 0), lambda x: F.struct(
             x["term"].alias("term"), (x["p"] - 1).alias("term_id"), x["tf"].alias("tf"))))
