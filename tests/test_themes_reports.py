@@ -89,3 +89,10 @@ def test_wordcloud_weight_floor(spark):
     kw = _kw(spark, [(i, 1, "t", 0.002) for i in range(8)])
     got = rp.wordcloud_weights(kw, 6).collect()
     assert len(got) == 6 and all(r.weight == 0.01 for r in got)
+
+
+def test_naming_computes_keywords_when_missing(spark):
+    docs = spark.createDataFrame([(1, 0, [("web", 0, 0.9), ("api", 1, 0.5)]), (2, 0, [("web", 0, 0.7)])],
+                                 "doc_id long, cluster int, tfidf array<struct<term:string,term_id:int,w:double>>")
+    got = themes.name_clusters_from_docs(docs, themes.theme_table(spark)).first()
+    assert got.cluster_name == "Desenvolvimento Web & API (C0)"

@@ -123,3 +123,11 @@ def attach_names(docs: DataFrame, names: DataFrame, cluster_col: str = "cluster"
     out = docs.join(names.select(cluster_col, "cluster_name"), cluster_col, "left")
     return out.withColumn("cluster_name", F.when(F.col(cluster_col) == F.lit(lx.NOISE_LABEL),
                                                  F.lit(lx.NOISE_NAME)).otherwise(F.col("cluster_name")))
+
+
+def name_clusters_from_docs(docs: DataFrame, themes: DataFrame, keywords: DataFrame | None = None,
+                            cluster_col: str = "cluster") -> DataFrame:
+    """C11: naming needs keywords; when none are given they are computed (top 10)."""
+    if keywords is None:
+        keywords = cluster_keywords(docs, top_n=lx.NAMING_TOP_TERMS, cluster_col=cluster_col)
+    return name_clusters(keywords, themes, cluster_col)

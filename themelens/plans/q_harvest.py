@@ -215,3 +215,16 @@ def q_stream_records(spark, sf_dir):
     out = run_to_completion(spark, sf_dir, os.path.join(root, "records"),
                             checkpoint=os.path.join(root, "ckpt"), glob="pages.parquet")
     return out.select("page_id", "titulo", "link_acesso")
+
+
+@query("extract_fields", oracle=f"""
+SELECT page_id, CAST(len(regexp_extract_all(html, 'id="{lx.FIELD_ID_PREFIX}[^"]*"')) AS BIGINT) AS n_fields
+FROM pages""")
+def q_extract_fields(spark, sf_dir):
+    """H8: metadata elements found per page by the one-pass scan (the stored test
+    pages carry none, so every count is 0 -- a check against false positives)."""
+    from ..functions.html import page_parts
+    p = _pages(spark, sf_dir)
+    parts = p.select("page_id", page_parts(F.col("html"), lx.FIELD_ID_PREFIX, lx.FIELD_VALUE_CLASS,
+                                           lx.TITLE_FALLBACK_TAGS, lx.ATTACHMENT_TOKEN).alias("_p"))
+    return parts.select("page_id", F.coalesce(F.size(F.map_keys("_p.fields")), F.lit(0)).cast("long").alias("n_fields"))
