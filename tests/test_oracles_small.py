@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 TABLES = ["customer", "orders", "documents", "embeddings", "pages"]
-SLOW = {"theme_pipeline", "scatter_data", "pipeline_invariants"}
+SLOW = {"theme_pipeline", "scatter_data", "pipeline_invariants", "density_cluster"}
 
 
 @pytest.fixture(scope="module")

@@ -189,3 +189,21 @@ def q_mutual_reachability(spark, sf_dir):
     from ..operators.density import mutual_reachability
     m = mutual_reachability(_emb(spark, sf_dir), MIN_SAMPLES, RANGE_T)
     return m.select("id_a", "id_b", F.round("distance", 6).alias("distance"), F.round("weight", 6).alias("weight"))
+
+
+@query("density_cluster", oracle="""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad_label, CAST(0 AS BIGINT) AS n_small FROM embeddings""")
+def q_density_cluster(spark, sf_dir):
+    """C2 invariants: every row labelled in [-1, K) and every cluster holds at least
+    min_cluster_size = max(5, n // 20) rows."""
+    from ..operators.density import density_cluster
+    e = _emb(spark, sf_dir)
+    lab = density_cluster(e).select("vec_id", "cluster").persist()
+    n = lab.count()
+    m = max(5, n // 20)
+    sizes = lab.filter(F.col("cluster") >= 0).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    k = sizes.count()
+    small = sizes.filter(F.col("size") < m).agg(F.count(F.lit(1)).alias("n_small"))
+    stats = lab.agg(F.count(F.lit(1)).alias("n_rows"),
+                    F.count_if((F.col("cluster") < -1) | (F.col("cluster") >= F.lit(k))).alias("n_bad_label"))
+    return stats.withColumn("n_small", F.lit(small.first()["n_small"]).cast("long"))
