@@ -9,7 +9,7 @@ from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import textprep, tfidf, themes
 from ..sources.tables import document_records, read_table
-from .registry import query, sql_in, sql_list
+from .registry import query, sql_list
 
 # ------------------------------------------------------------------ shared SQL fragments
 NON_TEXT = tx.NON_TEXT_PATTERN
