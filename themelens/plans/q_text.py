@@ -240,7 +240,7 @@ TEST_LEMMAS = [("the", "the", "DET"), ("and", "and", "CCONJ"), ("of", "of", "ADP
 
 
 def _lemma_sql():
-    from .. operators.lemmas import DROP_POS, LEMMA_TOKEN_PATTERN
+    from ..operators.lemmas import DROP_POS, LEMMA_TOKEN_PATTERN
     vals = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TEST_LEMMAS)
     drop = ", ".join(f"'{x}'" for x in DROP_POS)
     return SQL_PREP + f""",
