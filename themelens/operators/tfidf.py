@@ -156,6 +156,8 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
     inline = max_features is not None and max_features <= INLINE_VOCAB_LIMIT
     if inline:
         rows = sorted(vocab.collect(), key=lambda r: r["term"])     # <= max_features rows
+        if persist:
+            stats.unpersist()
         if not rows:
             raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
         terms = [r["term"] for r in rows]
