@@ -40,7 +40,11 @@ def theme_pipeline(records: DataFrame, k: int = 6, top_n: int = 15, method: str
     if method == "kmeans":
         _, docs = kmeans.kmeans_fit(vec, "features", k=k, seed=seed)
     else:
-        _, docs = kmeans.cluster(vec, method)
+        # density clustering works on dense rows, as the reference densifies its matrix
+        from pyspark.ml.functions import vector_to_array
+        dense = vec.withColumn("_dense", vector_to_array("features"))
+        _, docs = kmeans.cluster(dense, method, id_col="doc_id", vec_col="_dense")
+        docs = docs.drop("_dense")
     docs = docs.drop("features").persist()
     keywords = themes.cluster_keywords(docs, top_n=top_n)
     names = themes.name_clusters(keywords, themes.theme_table(records.sparkSession, lexicon))
