@@ -36,7 +36,8 @@ def theme_pipeline(records: DataFrame, k: int = 6, top_n: int = 15, method: str
     carry = [c for c in lx.RESULT_COLUMNS + ["lang"] if c in records.columns and c != "doc_id"]
     prepared = textprep.prepare_text(records, lemmas=lemmas)
     model = tfidf.fit_tfidf(prepared, keep_columns=carry, **(tfidf_params or {}))
-    vec = model.with_vectors("features").persist()       # K-means makes several passes
+    # K-means makes several passes: keep only what later steps read
+    vec = model.with_vectors("features").drop("tf_kept", "weights").persist()
     if method == "kmeans":
         _, docs = kmeans.kmeans_fit(vec, "features", k=k, seed=seed)
     else:
@@ -54,7 +55,7 @@ def theme_pipeline(records: DataFrame, k: int = 6, top_n: int = 15, method: str
         named = projection.project_sparse(named, model.vocab_terms, mean, comps)
     elif reduction is not None:
         raise ValueError(f"unsupported reduction method: {reduction!r}")
-    return PipelineResult(named.drop("tf_kept", "weights"), keywords, names, model)
+    return PipelineResult(named, keywords, names, model)
 
 
 def theme_pipeline_result(spark, sf_dir: str) -> DataFrame:
