@@ -11,10 +11,9 @@ may spell a special token) are given to ``tokenizers`` whole.
 from __future__ import annotations
 
 import json
+import struct
 from functools import lru_cache
 
-import numpy as np
-
 #: Chunks kept in a worker; a full cache stops growing, it is never a limit on results.
 CACHE_CHUNKS = 300_000
 #: What a text of the plain case doesn't hold: space runs, white space beside spaces,
@@ -38,14 +37,19 @@ def latin1(text: str) -> bool:
         return False
 
 
-class _Chunks(dict):
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as little-endian uint32 bytes."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Chunks(dict):
     """chunk -> little-endian uint32 ids; misses go to ``encode``."""
 
     def __init__(self, encode):
         self.encode = encode
 
     def __missing__(self, chunk):
-        ids = np.array(self.encode(chunk), dtype="<u4").tobytes()
+        ids = pack_ids(self.encode(chunk))
         if len(self) < CACHE_CHUNKS:
             self[chunk] = ids
         return ids
@@ -64,15 +68,15 @@ class ByteBpe:
         vocab = json.load(open(path))["model"]["vocab"]
         ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items()}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.first = _Chunks(self.fast.encode_ordinary)
-        self.next = _Chunks(lambda chunk: self.fast.encode_ordinary(" " + chunk))
+        self.first = Chunks(self.fast.encode_ordinary)
+        self.next = Chunks(lambda chunk: self.fast.encode_ordinary(" " + chunk))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32 bytes."""
         if not text:
             return b""
         if text[0] == " " or text[-1] == " " or any(u in text for u in UNUSUAL) or not latin1(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
         head, *chunks = text.split(" ")
         return self.first[head] + b"".join(map(self.next.__getitem__, chunks))
 
@@ -98,7 +102,7 @@ class WordBpe:
             ranks[bytes(letters[c] for c in body) + (self.END.encode() if ends else b"")] = i
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.fast = tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={})
-        self.chunks = _Chunks(self._chunk)
+        self.chunks = Chunks(self._chunk)
         self.vocabulary = self.whole.get_vocab_size()
 
     def _chunk(self, chunk: str) -> list[int]:
@@ -108,7 +112,7 @@ class WordBpe:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian uint32 bytes."""
         if any(u in text for u in UNUSUAL[6:]) or not latin1(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+            return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
