@@ -1,4 +1,4 @@
 """Importing this module registers the queries of every operator here."""
 
-from . import licenses, packing, pieces, pii, quality, simhash, substrings, token_files, topk  # noqa: F401
+from . import licenses, lines, packing, pieces, pii, quality, simhash, substrings, token_files, topk  # noqa: F401
 from .common import ORACLES, QUERIES  # noqa: F401
