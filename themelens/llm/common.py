@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from themelens.session import ensure_checkpoint_dir
 
@@ -49,6 +50,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(column):
+    """``column`` as it is, but opaque to the optimizer.
+
+    A filter on a computed column is moved below the projections with the whole computation
+    written out in it, once for each mention; a condition that isn't deterministic stays put.
+    """
+    return F.when(F.monotonically_increasing_id() >= 0, column)
+
+
 def default_path(name: str) -> str:
     """Where the public tokenizer file ``name`` is installed."""
     import public_tokenizers

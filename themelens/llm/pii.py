@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, read
+from .common import query, read, settled
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = "A-Za-z0-9._%+-"
@@ -234,7 +234,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     none = F.array().cast("array<struct<kind:string,start:int,end:int,base:boolean,score:double>>")
     spans = F.transform(F.array_sort(F.concat("sure", more)), lambda c: F.struct(
         c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), c["score"].alias("score")))
-    return rows.select("row", "text", F.coalesce(spans, none).alias("spans"))
+    return rows.select("row", "text", settled(F.coalesce(spans, none)).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import query, read
+from .common import query, read, settled
 
 SPACE = "[ \\t-\\r]+"
 WORD = "[^ \\t-\\r]"
@@ -94,7 +94,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
         count_of("\\p{L}", text).alias("n_letters"),
         count_of("!?", text).alias("n_shouts")).alias("m"))
     bits = [F.when(fails(F.col("m")), F.lit(BITS[name])).otherwise(F.lit(0)) for name, fails in RULES]
-    return measured.withColumn("failures", sum(bits, F.lit(0)).cast("long"))
+    return measured.withColumn("failures", settled(sum(bits, F.lit(0)).cast("long")))
 
 
 def fails(rules, failures="failures"):
