@@ -334,7 +334,8 @@ def alike_links(rows: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
                     line.append(own[w["line"]])
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), binary(line)], names=["node", "bytes"])
 
-    texts = compressed(rows).join(wanted, OWNER).select("text", "lines")
+    # always by shuffle: what is wanted grows with the corpus, and so the plan is the same at every size
+    texts = compressed(rows).join(wanted.hint("merge"), OWNER).select("text", "lines")
     # rows of one id and text give their lines more than once
     lines = materialise(texts.mapInArrow(fetch, "node long, bytes binary").dropDuplicates(["node"]), "lines")
     counts = materialise(met.groupBy("seg").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "counts")
