@@ -4,9 +4,9 @@ Method: pattern packing by non-negative least squares.  The histogram of piece l
 (at most ``size`` counts, however many documents there are) is gathered with partial
 sums.  On the driver, all patterns of two or three lengths that fill a sequence exactly
 are enumerated; an active-set non-negative least squares fit finds how often to repeat
-each, so that the patterns explain the histogram; the repeats are rounded and cut to what
-is there; the lengths left over are packed best fit decreasing, by counts of equal
-lengths and equal gaps, never one document at a time.
+each, so that the patterns explain the histogram; the repeats, or a share of them, are
+rounded and cut to what is there; the lengths left over are packed best fit decreasing, by
+counts of equal lengths and equal gaps, never one document at a time.
 
 The plan is a table of slots for each length, whose size depends on ``size`` alone.
 Pieces take the slots of their length in the order of their rank.  Ranks are counted in
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import binary, default_path, materialise, query, read, texts
 from .subwords import ByteBpe, encoder
 
+#: Shares of the fitted repeats that are tried; the plan with the fewest sequences is taken.
+SHARES = (1.0, 0.9, 0.75, 0.5)
 #: Hashed shares in which the documents of one length are ranked.
 BUCKETS = 256
 
@@ -84,23 +86,24 @@ def exact_patterns(lengths: np.ndarray, size: int) -> np.ndarray:
 def fit_repeats(histogram: np.ndarray, patterns: np.ndarray) -> dict[int, float]:
     """Non-negative least squares by the active-set method: pattern -> repeats.
 
-    The gradient of every pattern is the sum of what is left at its lengths.  The inverse
+    What is left over weighs as much as the length is long, since a long piece that finds no
+    partners costs a sequence and a short one fills a gap.  The gradient of every pattern is
+    the weighted sum of what is left at its lengths.  The inverse
     of the active normal matrix is bordered as a pattern enters and reduced as one leaves.
     """
-    goal = histogram.astype(float)
-    goal[0] = 0.0
-    rows = len(goal)
+    rows = len(histogram)
+    weight = np.arange(rows) / max(rows - 1, 1)
+    goal = histogram * weight
     active: list[int] = []
     columns = np.zeros((rows, rows))
     inverse = np.zeros((rows, rows))
     x = np.zeros(0)
-    least = max(0.25, 1e-4 * goal.max(initial=0.0))
+    least = max(0.02, 1e-4 * goal.max(initial=0.0))
     barred: set[int] = set()
 
     def column(k: int) -> np.ndarray:
         a = np.zeros(rows)
-        np.add.at(a, patterns[k], 1.0)
-        a[0] = 0.0
+        np.add.at(a, patterns[k], weight[patterns[k]])
         return a
 
     def leave(at: int) -> None:
@@ -117,7 +120,7 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray) -> dict[int, float]
     while len(patterns) and len(active) < rows - 1:
         p = len(active)
         left = goal - columns[:, :p] @ x
-        gradient = left[patterns].sum(axis=1)
+        gradient = (left * weight)[patterns].sum(axis=1)
         if barred:
             gradient[list(barred)] = 0.0
         k = int(gradient.argmax())
@@ -183,11 +186,18 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
     for k, n in left.items():
         histogram[k] = n
     patterns = exact_patterns(np.array(sorted(left), dtype=np.int64), size)
-    fitted = fit_repeats(histogram, patterns)
-    for k, repeats in sorted(fitted.items(), key=lambda kv: (-kv[1], kv[0])):
+    fitted = sorted(fit_repeats(histogram, patterns).items(), key=lambda kv: (-kv[1], kv[0]))
+    plans = (recipes + fill_patterns(dict(left), patterns, fitted, share, size) for share in SHARES)
+    return min(plans, key=lambda plan: sum(n for _, n in plan))
+
+
+def fill_patterns(left: dict[int, int], patterns: np.ndarray, fitted, share: float, size: int):
+    """Recipes for a share of the fitted repeats, rounded and cut to what is there, and for the rest."""
+    recipes = []
+    for k, repeats in fitted:
         lengths = tuple(int(v) for v in patterns[k][::-1] if v)
         need = Counter(lengths)
-        n = min([int(repeats + 0.5), *(left[v] // m for v, m in need.items())])
+        n = min([int(repeats * share + 0.5), *(left[v] // m for v, m in need.items())])
         if n > 0:
             recipes.append((lengths, n))
             for v, m in need.items():

@@ -37,14 +37,15 @@ LOCAL = "A-Za-z0-9._%+-"
 STRICT = {
     "email": rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a whole run of digits with at most a space or hyphen between them, of 16 to 19 digits
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
     "email": rf"(?<![{LOCAL}])[{LOCAL}]++ ?[(\[]at[)\]] ?[A-Za-z0-9-]++(?: ?(?:[(\[]dot[)\]]|\.) ?[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])3[47][0-9]{13}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z.-])",
+    "phone": r"(?<![0-9A-Za-z+.-])(?<![0-9] )(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![ .-]?[0-9])(?![A-Za-z])",
 }
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {
@@ -65,6 +66,8 @@ FOR = {"email": "e-?mail|mail|contact|write|courriel|correo",
        "phone": "phone|tel|call|mobile|fax|contact|telefon|téléphone|teléfono"}
 AGAINST = r"version|\bv\.? ?$|order|invoice|isbn|\bref\b|\bid\b|serial|token|hash|bestellung|commande|pedido"
 CONTEXT = 32
+#: Matches of a text whose places are summed up at a time; the chunks' lengths are summed up after.
+CHUNK = 256
 LABELERS = ("strict", "check", "gazetteer", "context", "apart")
 
 
@@ -95,21 +98,42 @@ def passes(kind: str, span):
             "card": F.when(between(span, 16, 19), luhn(digits(span))).otherwise(F.lit(False))}[kind]
 
 
-def matches(text, kind: str, strict: bool):
-    """Array of (kind, strict, span, start, end) of one pattern's matches, in order."""
-    pattern = F.lit((STRICT if strict else LOOSE)[kind])
-    spans, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    sizes = F.zip_with(spans, gaps, lambda s, g: F.struct(s.alias("span"), F.length(g).alias("gap")))
-    sizes = F.filter(sizes, lambda s: s["span"].isNotNull())
+def bound(value, use):
+    """``use(value)`` with the value computed once, however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def place(sizes):
+    """Places of some matches from their own start on: (at: length of it all, out: spans with places)."""
     none = F.array().cast("array<struct<span:string,start:int,end:int>>")
-    placed = F.aggregate(
+    return F.aggregate(
         sizes, F.struct(F.lit(0).alias("at"), none.alias("out")),
         lambda acc, s: F.struct(
             (acc["at"] + s["gap"] + F.length(s["span"])).alias("at"),
             F.concat(acc["out"], F.array(F.struct(
                 s["span"].alias("span"), (acc["at"] + s["gap"]).alias("start"),
-                (acc["at"] + s["gap"] + F.length(s["span"])).alias("end")))).alias("out")),
+                (acc["at"] + s["gap"] + F.length(s["span"])).alias("end")))).alias("out")))
+
+
+def shift(chunks):
+    """The places of all chunks, each moved by the length of the chunks before it."""
+    before = F.aggregate(
+        chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+        lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
         lambda acc: acc["out"])
+    return F.flatten(F.zip_with(chunks, before, lambda c, by: F.transform(c["out"], lambda p: F.struct(
+        p["span"].alias("span"), (p["start"] + by).alias("start"), (p["end"] + by).alias("end")))))
+
+
+def matches(text, kind: str, strict: bool):
+    """Array of (kind, strict, span, start, end) of one pattern's matches, in order."""
+    pattern = F.lit((STRICT if strict else LOOSE)[kind])
+    spans, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
+    sizes = F.zip_with(spans, gaps, lambda s, g: F.struct(s.alias("span"), F.length(g).alias("gap")))
+    first, last = F.lit(1), F.greatest(F.size(spans), F.lit(1))
+    chunks = F.sequence(first, last, F.lit(CHUNK))
+    placed = bound(F.slice(sizes, 1, F.size(spans)), lambda own: bound(
+        F.transform(chunks, lambda at: place(F.slice(own, at, CHUNK))), shift))
     tagged = F.transform(placed, lambda p: F.struct(
         F.lit(kind).alias("kind"), F.lit(strict).alias("strict"), p["span"].alias("span"),
         p["start"].alias("start"), p["end"].alias("end")))
