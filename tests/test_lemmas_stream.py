@@ -1,4 +1,4 @@
-"""T5 lemma lookup (inline and join paths) and the streaming harvest."""
+"""T5 lemma lookup and the streaming harvest."""
 
 import os
 
@@ -13,16 +13,19 @@ def _docs(spark):
                                  "doc_id long, t string")
 
 
-def test_lemmatize_inline(spark):
+def test_lemmatize(spark):
     lem = spark.createDataFrame(LEMMAS, "surface string, lemma string, pos string")
     got = {r.doc_id: r.o for r in lemmatize(_docs(spark), lem, "t", "o").collect()}
     assert got == {1: "as casa ser bonitas", 2: "", 3: ""}
 
 
-def test_lemmatize_join_path_same(spark):
-    lem = spark.createDataFrame(LEMMAS, "surface string, lemma string, pos string")
-    got = {r.doc_id: r.o for r in lemmatize(_docs(spark), lem, "t", "o", inline_limit=0).collect()}
-    assert got == {1: "as casa ser bonitas", 2: "", 3: ""}
+def test_lemmatize_nulls_and_repeats(spark):
+    """A null lemma leaves the surface, a null pos the default tag; repeats take the smallest (pos, lemma)."""
+    lem = spark.createDataFrame([("casas", None, "NOUN"), ("são", "ser", None), (None, "y", "X"), ("12", "doze", None),
+                                 ("bonitas", "b2", "X"), ("bonitas", "b1", "X"), ("bonitas", "b0", "Y")],
+                                "surface string, lemma string, pos string")
+    got = {r.doc_id: r.o for r in lemmatize(_docs(spark), lem, "t", "o").collect()}
+    assert got == {1: "as casas ser b1 et x", 2: "", 3: ""}
 
 
 PAD = "<!-- " + "x" * 100 + " -->"

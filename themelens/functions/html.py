@@ -21,13 +21,15 @@ PAGE_PARTS = T.StructType([
     T.StructField("fields", T.MapType(T.StringType(), T.ArrayType(T.StringType()))),
     T.StructField("fallback_title", T.StringType()),
     T.StructField("attachment", T.StringType()),
+    T.StructField("hrefs", T.ArrayType(T.StringType())),
+    T.StructField("error", T.StringType()),
 ])
 
 
 class _PageScan(HTMLParser):
     """Collects the texts of value elements (class ``value_class``) inside an
     element whose id is ``id_prefix + field``; the text of the first title
-    candidate in document order; the first link whose href contains a token."""
+    candidate in document order; the hrefs of all links, and the first that contains a token."""
 
     def __init__(self, id_prefix, value_class, title_tags, link_token):
         super().__init__(convert_charrefs=True)
@@ -39,6 +41,7 @@ class _PageScan(HTMLParser):
         self.title_depth = None
         self.title_buf = []
         self.attachment = None
+        self.hrefs = []
 
     def _field_scope(self):
         for _, field, _ in reversed(self.stack):
@@ -48,9 +51,10 @@ class _PageScan(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         a = dict(attrs)
-        if tag == "a" and self.attachment is None and self.link_token is not None:
-            href = a.get("href")
-            if href is not None and self.link_token in href:
+        href = a.get("href") if tag == "a" else None
+        if href is not None:
+            self.hrefs.append(href)
+            if self.attachment is None and self.link_token is not None and self.link_token in href:
                 self.attachment = href
         if tag in VOID_TAGS:
             return
@@ -95,19 +99,21 @@ class _PageScan(HTMLParser):
         if self.title_depth is not None:           # unclosed title candidate
             self.title = "".join(self.title_buf)
         fields = {k: ["".join(s) for s in v] for k, v in self.fields.items()}
-        return {"fields": fields, "fallback_title": self.title, "attachment": self.attachment}
+        return {"fields": fields, "fallback_title": self.title, "attachment": self.attachment,
+                "hrefs": self.hrefs, "error": None}
 
 
 def scan_page(html: str | None, id_prefix: str, value_class: str, title_tags, link_token):
     if html is None:
         return None
     p = _PageScan(id_prefix, value_class, list(title_tags), link_token)
+    error = None
     try:
         p.feed(html)
         p.close()
-    except Exception:  # noqa: BLE001 - malformed markup: keep what was read
-        pass
-    return p.result()
+    except Exception as e:  # noqa: BLE001 - markup that breaks the parser is reported with what was read
+        error = f"{type(e).__name__}: {e}"
+    return p.result() | {"error": error}
 
 
 def page_parts(html_col, id_prefix: str, value_class: str, title_tags, link_token):
@@ -116,12 +122,8 @@ def page_parts(html_col, id_prefix: str, value_class: str, title_tags, link_toke
 
     @F.pandas_udf(PAGE_PARTS)
     def _scan(s: pd.Series) -> pd.DataFrame:
-        rows = [scan_page(h, id_prefix, value_class, tags, link_token) or
-                {"fields": None, "fallback_title": None, "attachment": None} for h in s]
-        return pd.DataFrame({
-            "fields": [r["fields"] for r in rows],
-            "fallback_title": [r["fallback_title"] for r in rows],
-            "attachment": [r["attachment"] for r in rows],
-        })
+        none = dict.fromkeys(PAGE_PARTS.names)
+        rows = [scan_page(h, id_prefix, value_class, tags, link_token) or none for h in s]
+        return pd.DataFrame({name: [r[name] for r in rows] for name in PAGE_PARTS.names})
 
     return _scan(html_col)

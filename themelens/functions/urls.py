@@ -33,20 +33,37 @@ def site_base(url: Column) -> Column:
     return F.concat(url_scheme(url), F.lit("://"), url_netloc(url))
 
 
+def without_dots(path: Column) -> Column:
+    """A reference's path below the root with ``.`` and ``..`` segments resolved.
+
+    ``..`` cannot climb above the root; empty segments inside a relative path are dropped.
+    """
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    inner = F.slice(parts, 1, F.size(parts) - 1)
+    inner = F.when(path.startswith("/"), F.slice(inner, 2, F.size(parts))).otherwise(F.filter(inner, lambda s: s != ""))
+    dots = last.isin(".", "..")
+    kept = F.aggregate(
+        F.concat(inner, F.array(last)), F.array().cast("array<string>"),
+        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+        .when(s == ".", acc).otherwise(F.concat(acc, F.array(s))))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, F.when(dots, F.array(F.lit(""))).otherwise(
+        F.array().cast("array<string>"))), "/"))
+
+
 def resolve_url(href: Column, base: Column) -> Column:
     """H3: resolve ``href`` against a site root (a base without a path).
 
     Absolute references stay as they are; ``//host`` takes the base scheme;
-    ``/path``, ``?query``, ``#frag`` and ``''`` attach to the root; relative
-    paths attach below the root with leading ``./`` and ``../`` removed (they
-    cannot climb above the root).
+    ``?query``, ``#frag`` and ``''`` attach to the root; paths attach below the
+    root with their dot segments resolved.
     """
     h = F.coalesce(href, F.lit(""))
+    path = F.regexp_extract(h, r"^([^?#]*)", 1)
     return (F.when(h.rlike(SCHEME_PATTERN), h)
             .when(h.startswith("//"), F.concat(url_scheme(base), F.lit(":"), h))
-            .when(h == F.lit(""), base)
-            .when(h.startswith("/") | h.startswith("?") | h.startswith("#"), F.concat(base, h))
-            .otherwise(F.concat(base, F.lit("/"), F.regexp_replace(h, LEADING_DOTS_PATTERN, ""))))
+            .when(path == "", F.concat(base, h))
+            .otherwise(F.concat(base, without_dots(path), F.substring(h, F.length(path) + 1, F.length(h)))))
 
 
 def is_item_url(url: Column, host_token: str, path_token: str) -> Column:

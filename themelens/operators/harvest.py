@@ -1,10 +1,10 @@
 """Stored pages -> item links -> structured records.
 
 The network fetch of the original crawl is re-aimed at a stored ``pages``
-table ``(page_id, url, html)``.  Links and records are DataFrame operations:
-regular-expression extraction and URL resolution are JVM built-ins, dedupe is a
-distinct/grouping, and only the element-scoped field extraction runs in one
-Arrow-batched parse per page (:mod:`themelens.functions.html`).
+table ``(page_id, url, html)``.  Links and records are DataFrame operations: URL
+resolution and clean-up are JVM built-ins, dedupe is a distinct/grouping, and only
+the reading of links and element-scoped fields runs in one Arrow-batched parse per
+page (:mod:`themelens.functions.html`).
 """
 
 from __future__ import annotations
@@ -17,12 +17,10 @@ from ..functions import text as tx
 from ..functions import urls
 from ..functions.html import page_parts
 
-#: href attribute values of anchor tags (quoted with " or ')
+#: quoted href attribute values of anchor tags, for the SQL oracles (plain markup)
 ANCHOR_HREF_PATTERN = r"""(?is)<a\s[^>]*?href\s*=\s*["']([^"']*)["']"""
 #: anchor texts (anchors without nested markup)
 ANCHOR_TEXT_PATTERN = r"(?is)<a\s[^>]*>([^<]*)</a>"
-#: the one character reference that can appear inside a stored href
-AMP_ENTITY = "&amp;"
 
 
 def size_guard(pages: DataFrame, min_bytes: int = lx.MIN_BODY_BYTES) -> DataFrame:
@@ -31,9 +29,8 @@ def size_guard(pages: DataFrame, min_bytes: int = lx.MIN_BODY_BYTES) -> DataFram
 
 
 def anchor_hrefs(html) -> "F.Column":
-    """All anchor hrefs in document order, ``&amp;`` decoded."""
-    return F.transform(F.regexp_extract_all(html, F.lit(ANCHOR_HREF_PATTERN), 1),
-                       lambda h: F.replace(h, F.lit(AMP_ENTITY), F.lit("&")))
+    """All anchor hrefs in document order, decoded, from the one parse of the page."""
+    return page_parts(html, lx.FIELD_ID_PREFIX, lx.FIELD_VALUE_CLASS, (), None)["hrefs"]
 
 
 def page_links(pages: DataFrame, base=None, patterns=None) -> DataFrame:

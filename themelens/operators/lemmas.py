@@ -7,10 +7,10 @@ tagged PUNCT, SPACE, SYM or NUM are dropped (unknown tokens: dot runs count as
 PUNCT and digit runs as NUM), the rest are replaced by their lemma and joined
 with blanks.
 
-Plan: a lemma table of checked size (``inline_limit`` rows) is attached to
-rows as sorted literal arrays and searched inside each row -- no shuffle.  A
-larger table is joined instead (AQE picks broadcast or shuffle from its
-measured size) and the tokens are regrouped by document.
+Plan: one path for a table of any size.  The tokens are joined with the table (AQE picks
+broadcast or shuffle from its measured size) and regrouped by document.  Of several
+rows of one surface the smallest (pos, lemma) counts; a null lemma leaves the surface
+form, a null pos the default tag, a null surface is ignored.
 """
 
 from __future__ import annotations
@@ -19,12 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions import vectors as vx
 
 #: word runs or runs of dots (the only punctuation left after cleaning)
 LEMMA_TOKEN_PATTERN = f"[{tx.WORD_CLASS}]+|[.]+"
 DROP_POS = ("PUNCT", "SPACE", "SYM", "NUM")
-INLINE_LIMIT = 100_000
 
 
 def _default_pos(tok):
@@ -32,28 +30,12 @@ def _default_pos(tok):
             .when(tok.rlike(r"^\p{N}+$"), F.lit("NUM")).otherwise(F.lit("X")))
 
 
-def lemmatize(df: DataFrame, lemmas: DataFrame, text_col: str, out_col: str,
-              doc_col: str = "doc_id", inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    table = lemmas.select("surface", "lemma", "pos").dropDuplicates(["surface"])
-    n = table.count()
+def lemmatize(df: DataFrame, lemmas: DataFrame, text_col: str, out_col: str, doc_col: str = "doc_id") -> DataFrame:
+    best = F.min(F.struct("pos", "lemma")).alias("best")
+    tab = lemmas.where("surface is not null").groupBy("surface").agg(best).select(
+        "surface", F.col("best.lemma").alias("lemma"), F.col("best.pos").alias("lpos"))
     toks = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(LEMMA_TOKEN_PATTERN), 0)
-    if n <= inline_limit:
-        rows = sorted(table.collect(), key=lambda r: r["surface"])          # checked size
-        keys = [r["surface"] for r in rows]
-        lem = vx.string_array([r["lemma"] for r in rows])
-        pos = vx.string_array([r["pos"] for r in rows])
-        out = df.withColumn("_tok", toks)
-        out = out.withColumn("_tp", F.transform("_tok", lambda t: F.struct(
-            t.alias("t"), vx.key_position(keys, t).alias("i"))))
-        out = out.withColumn("_tl", F.transform("_tp", lambda x: F.struct(
-            F.when(x["i"] > 0, F.element_at(lem, x["i"])).otherwise(x["t"]).alias("lemma"),
-            F.when(x["i"] > 0, F.element_at(pos, x["i"])).otherwise(_default_pos(x["t"])).alias("pos"))))
-        kept = F.filter("_tl", lambda x: ~x["pos"].isin(list(DROP_POS)))
-        return (out.withColumn(out_col, F.array_join(F.transform(kept, lambda x: x["lemma"]), " "))
-                .drop("_tok", "_tp", "_tl"))
-    # large table: join, then regroup tokens by document
     long = tx.explode_rows(df.select(doc_col, toks.alias("_tok")), [doc_col], "_tok", "t", with_pos=True)
-    tab = table.select("surface", "lemma", F.col("pos").alias("lpos"))
     j = long.join(tab, long.t == tab.surface, "left")
     j = j.select(doc_col, "pos", F.coalesce("lemma", "t").alias("lemma"),
                  F.coalesce(F.col("lpos"), _default_pos(F.col("t"))).alias("tag"))

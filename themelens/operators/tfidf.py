@@ -19,7 +19,8 @@ Plan shape (one shuffle of small, pre-aggregated data):
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -104,13 +105,26 @@ class TfidfModel:
     docs: DataFrame
     vocab: DataFrame
     n_docs: int
-    vocab_terms: list = field(default_factory=list)
-    idf: list = field(default_factory=list)
+    n_terms: int
     doc_col: str = "doc_id"
 
     @property
     def shape(self):
-        return (self.n_docs, len(self.vocab_terms))
+        return (self.n_docs, self.n_terms)
+
+    @cached_property
+    def _entries(self) -> list:
+        return self.vocab.orderBy("term_id").select("term", "idf").collect()
+
+    @property
+    def vocab_terms(self) -> list:
+        """The terms in vocabulary order (fetched to the driver when asked for)."""
+        return [r["term"] for r in self._entries]
+
+    @property
+    def idf(self) -> list:
+        """The weights in vocabulary order (fetched to the driver when asked for)."""
+        return [r["idf"] for r in self._entries]
 
     def long(self) -> DataFrame:
         """(doc_id, term, tfidf) long sparse table (V9)."""
@@ -182,7 +196,7 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
                   .withColumn("tfidf", F.transform("weights", lambda x: F.struct(
                       x["term"].alias("term"), x["term_id"].alias("term_id"), (x["w"] / F.col("_norm")).alias("w"))))
                   .drop("_norm", "_pos", "tf"))
-        return TfidfModel(out, vocab_df, n_docs, terms, idf, doc_col)
+        return TfidfModel(out, vocab_df, n_docs, len(terms), doc_col)
 
     # unbounded vocabulary: join + window, nothing collected
     n_terms = vocab.count()
@@ -203,5 +217,4 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
     out = docs_tf.drop("tf").join(per_doc, doc_col, "left")
     for c in ("tf_kept", "weights", "tfidf"):
         out = out.withColumn(c, F.coalesce(c, F.array().cast(out.schema[c].dataType)))
-    terms = []
-    return TfidfModel(out, vocab_df, n_docs, terms, [], doc_col)
+    return TfidfModel(out, vocab_df, n_docs, n_terms, doc_col)

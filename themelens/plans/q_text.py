@@ -209,7 +209,7 @@ def q_tfidf_shape(spark, sf_dir):
     m = _model(spark, sf_dir)
     nnz = m.docs.agg(F.sum(F.size("tfidf")).cast("long").alias("nnz"))
     return nnz.select(F.lit(m.n_docs).cast("long").alias("n_docs"),
-                      F.lit(len(m.vocab_terms)).cast("long").alias("n_terms"), "nnz")
+                      F.lit(m.n_terms).cast("long").alias("n_terms"), "nnz")
 
 
 # ------------------------------------------------------------------ C4-C6 with stand-in labels

@@ -31,17 +31,33 @@ def _kind(path: str) -> str:
     raise ValueError("unsupported file format: use .csv or .json")
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType = RECORD_SCHEMA,
-                 multiline_json: bool = False) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: T.StructType | None = RECORD_SCHEMA,
+                 multiline_json: bool | None = None) -> DataFrame:
     """CSV (header, quoted multi-line fields) or JSON by extension.
 
-    JSON lines are splittable; ``multiline_json`` reads one indented array per
-    file.  Other extensions raise ``ValueError``.
+    CSV columns are bound by their header names, read as text and cast to
+    ``schema``; columns of the schema that the file lacks are null, and ``schema=None``
+    keeps the file's own columns.  JSON files hold one object a line, or one array
+    or object over many lines; unless ``multiline_json`` says which, the first line that
+    isn't blank tells.  Input that can't be parsed raises.  Other extensions raise
+    ``ValueError``.
     """
-    kind = _kind(path)
-    if kind == "csv":
-        return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
-    return spark.read.schema(schema).option("multiLine", str(multiline_json).lower()).json(path)
+    if _kind(path) == "csv":
+        rows = spark.read.options(**CSV_OPTIONS, mode="FAILFAST").csv(path)
+        if schema is None:
+            return rows
+        return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                             for f in schema])
+    if multiline_json is None:
+        multiline_json = not path.rstrip("/").lower().endswith(".jsonl") and _starts_array(spark, path)
+    reader = spark.read.option("mode", "FAILFAST").option("multiLine", str(multiline_json).lower())
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def _starts_array(spark: SparkSession, path: str) -> bool:
+    """Whether a JSON file is laid out over many lines: its first line opens an array or an object only."""
+    first = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").first()
+    return first is not None and (first.line.startswith("[") or first.line == "{")
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
