@@ -53,11 +53,6 @@ def string_array(values) -> Column:
     return json_literal([str(v) for v in values], "array<string>")
 
 
-def long_array(values) -> Column:
-    """``array<bigint>`` literal."""
-    return json_literal([int(v) for v in values], "array<bigint>")
-
-
 def literal_matrix(rows) -> Column:
     """A small matrix (list of float lists) as an ``array<array<double>>`` literal."""
     return json_literal([[float(v) for v in r] for r in rows], "array<array<double>>")

@@ -32,7 +32,6 @@ from ..functions.lexicon import STOP_WORDS
 #: largest vocabulary that is attached to rows as a literal map
 INLINE_VOCAB_LIMIT = 100_000
 
-TERM_STRUCT = "array<struct<term:string,tf:bigint>>"
 
 
 def term_arrays(df: DataFrame, text_col: str = "texto_processado", stop_words=STOP_WORDS,

@@ -27,7 +27,3 @@ def query(name: str, oracle: str | None = None):
 def sql_list(values) -> str:
     """DuckDB list literal of strings."""
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
-
-
-def sql_in(values) -> str:
-    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"

@@ -23,22 +23,26 @@ PAGE_SCHEMA = "page_id bigint, url string, html string"
 
 
 def _existing(spark: SparkSession, out_dir: str):
-    """Records already in the sink (any file system Spark can read), or None."""
+    """URLs already in the sink (any file system Spark can read), or None before the first batch.
+
+    Only a missing path means that there is no sink yet; any other failure is raised.
+    """
     from pyspark.errors import AnalysisException
     try:
-        return spark.read.parquet(out_dir).select("link_acesso")
-    except AnalysisException:
-        return None
+        return spark.read.parquet(out_dir).select(F.col("link_acesso").alias("url"))
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def harvest_batch(batch: DataFrame, out_dir: str, base=None) -> None:
-    spark = batch.sparkSession
+    """Harvest the pages whose URLs the sink doesn't hold; they are set aside before the parse."""
     pages = harvest.dedupe_urls(harvest.size_guard(batch))
-    recs = harvest.extract_records(pages, base=base)
-    done = _existing(spark, out_dir)
+    done = _existing(batch.sparkSession, out_dir)
     if done is not None:
-        recs = recs.join(done, "link_acesso", "left_anti")
-    recs.write.mode("append").parquet(out_dir)
+        pages = pages.join(done, "url", "left_anti")
+    harvest.extract_records(pages, base=base).write.mode("append").parquet(out_dir)
 
 
 def start_record_stream(spark: SparkSession, pages_dir: str, out_dir: str, checkpoint: str | None = None,
@@ -59,7 +63,3 @@ def run_to_completion(spark: SparkSession, pages_dir: str, out_dir: str, **kw) -
     q = start_record_stream(spark, pages_dir, out_dir, **kw)
     q.awaitTermination()
     return spark.read.parquet(out_dir)
-
-
-def distinct_urls(df: DataFrame) -> DataFrame:
-    return df.select(F.col("link_acesso")).distinct()
