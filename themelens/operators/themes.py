@@ -41,8 +41,8 @@ def cluster_term_means(docs: DataFrame, cluster_col: str = "cluster", weights_co
     sums = (explode_rows(d, [cluster_col], weights_col)
             .groupBy(cluster_col, F.col("x.term").alias("term"))
             .agg(F.sum("x.w").alias("w_sum")))
-    sizes = cluster_sizes(d, cluster_col)           # one row per cluster: a proven bound (k)
-    return (sums.join(F.broadcast(sizes), cluster_col)
+    sizes = cluster_sizes(d, cluster_col)           # broadcast if its measured size allows
+    return (sums.join(sizes, cluster_col)
             .select(cluster_col, "term", (F.col("w_sum") / F.col("n_docs")).alias("score")))
 
 
@@ -117,11 +117,10 @@ def capitalize(c):
 def attach_names(docs: DataFrame, names: DataFrame, cluster_col: str = "cluster") -> DataFrame:
     """Map names onto rows; noise rows get the noise name.
 
-    ``names`` has one row per cluster (at most k rows, a proven bound), so it is
-    broadcast: a shuffle join on a handful of cluster keys would send each
-    cluster's documents to a single task.
+    ``names`` has one row per cluster; it is broadcast if its measured size allows,
+    and otherwise the join's skew handling splits the large clusters.
     """
-    out = docs.join(F.broadcast(names.select(cluster_col, "cluster_name")), cluster_col, "left")
+    out = docs.join(names.select(cluster_col, "cluster_name"), cluster_col, "left")
     return out.withColumn("cluster_name", F.when(F.col(cluster_col) == F.lit(lx.NOISE_LABEL),
                                                  F.lit(lx.NOISE_NAME)).otherwise(F.col("cluster_name")))
 
