@@ -246,8 +246,8 @@ def test_runs_of_a_long_text(monkeypatch):
     from themelens.llm import substrings
     data = bytes(random.Random(1).choice(b"abcd") for _ in range(5000))
     whole = Rolling(50, 10).runs(data)
-    assert whole[2].sum() == len(data) - 49
+    assert whole[3].sum() == len(data) - 49
     monkeypatch.setattr(substrings, "SEGMENT", 700)
     parts = Rolling(50, 10).runs(data)
-    windows = lambda runs: {a + k: int(d) for d, a, n in zip(*runs) for k in range(n)}
+    windows = lambda runs: {a + k: int(d) for d, a, _, n in zip(*runs) for k in range(n)}
     assert windows(whole) == windows(parts)

@@ -43,11 +43,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
-    Cuts the lineage: later stages re-read the files, also after executors are lost.
+    Cuts the lineage: later stages re-read the files, also after executors are lost.  The
+    shuffle files of the finished step are of no use then; Spark removes them once the driver
+    has collected its garbage, so that is asked for, and the disk holds one step's at a time.
     """
-    path = shared_path(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(column):

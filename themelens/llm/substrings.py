@@ -11,8 +11,13 @@ be sent:
    Equal windows have equal first digits.  Strings that occur once leave.
 2. The second digit is the whole stretch of bytes that a run of windows covers.  A stretch
    found twice is repeated with all its windows, and leaves as settled.
-3. Where stretches of one first digit differ, the runs are taken apart: the third digit is
-   the window itself, through its last byte.  Of a stretch found twice, one copy stands for all.
+3. Where stretches of one first digit differ, the runs are taken apart at every sixteenth byte
+   from the first digit's place on.  The third digit of such a part is what all windows there
+   have in common; parts whose third digit occurs once leave, and of the others those whose
+   whole stretch is found twice leave as settled.
+4. The last digit is the window itself, through its last byte, for the parts that are left.
+
+Of a stretch found twice, one copy stands for all in the passes after.
 
 All passes count with partial sums and join written tables, so that a passage which many
 documents share is split over tasks.  Texts are known by their content (hash and length):
@@ -37,7 +42,15 @@ GRAM = 40
 #: Windows of a text that are laid out at a time (bounds memory); longer texts go on after them.
 SEGMENT = 1 << 20
 LOW = np.uint64((1 << 21) - 1)  # place of a gram in its segment
-RUN_BITS = 12  # bits of a run's number of windows beside its start
+#: Windows of a part into which runs are taken apart.
+PART = 16
+#: A run's place: start, then in BITS each its first digit's distance from the start and its number of windows.
+BITS = 12
+MOST = (1 << BITS) - 1
+
+
+def placed(first, anchor, n):
+    return first << 2 * BITS | (anchor - first) << BITS | n
 
 
 class Rolling:
@@ -66,7 +79,7 @@ class Rolling:
         return h
 
     def runs(self, data: bytes):
-        """(first digit, first window, number of windows) of every run, in order of windows."""
+        """(first digit, first window, place of the digit, number of windows) of every run, in order of windows."""
         out = []
         span = self.length - self.gram + 1  # grams in a window
         for at in range(0, len(data) - self.length + 1, SEGMENT):
@@ -81,9 +94,9 @@ class Rolling:
             windows = len(part) - self.length + 1
             least = np.minimum(before[:windows], after[span - 1:span - 1 + windows]) & LOW
             first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-            out.append((h[least[first].astype(np.int64)].view(np.int64), first + at,
-                        np.diff(np.concatenate([first, [windows]]))))
-        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 3
+            anchor = least[first].astype(np.int64)
+            out.append((h[anchor].view(np.int64), first + at, anchor + at, np.diff(np.concatenate([first, [windows]]))))
+        return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 4
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +107,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, size, at): runs of repeated windows of each text, start << RUN_BITS | number."""
+    """(key, size, at): runs of repeated windows of each text, by their places."""
     from xxhash import xxh3_64_intdigest as xxh
 
     rolling = Rolling(length, gram)
@@ -110,9 +123,9 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
             digit, second, owner, at = [], [], [], []
             for k, text in enumerate(texts(batch.column(0))):
                 data = text.encode()
-                d, first, n = rolling.runs(data)
+                d, first, anchor, n = rolling.runs(data)
                 digit.append(d)
-                at.append(first << RUN_BITS | n)
+                at.append(placed(first, anchor, n))
                 owner.append(np.full(len(d), k))
                 second += [xxh(data[a:b]) for a, b in zip(first.tolist(), (first + n + length - 1).tolist())]
             owner = pa.array(np.concatenate(owner))
@@ -131,42 +144,68 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     settled = runs.join(groups.where("n > 1").select("digit", "second"), ["digit", "second"]).select("key", "size", "at")
 
     differ = materialise(groups.where("n = 1").select("digit").distinct(), "differ")
-    probes = groups.join(differ, "digit").select(
-        "one.key", "one.size", F.struct("one.at", "digit", (F.col("n") == 1).alias("asks")).alias("probe"))
-    probes = materialise(probes.groupBy("key", "size").agg(F.collect_list("probe").alias("probes")), "probes")
-
-    def windows(batches):
-        for batch in batches:
-            digit, third, asks, owner, at = [], [], [], [], []
-            for k, (text, wanted) in enumerate(zip(texts(batch.column(0)), batch.column(1).to_pylist())):
-                data = text.encode()
-                for probe in wanted:
-                    first, n = probe["at"] >> RUN_BITS, probe["at"] & ((1 << RUN_BITS) - 1)
-                    digit += [probe["digit"]] * n
-                    asks += [probe["asks"]] * n
-                    owner += [k] * n
-                    at += range(first, first + n)
-                    third += [xxh(data[a:a + length]) for a in range(first, first + n)]
-            owner = pa.array(owner, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(digit, pa.int64()), pa.array(np.array(third, dtype=np.uint64).view(np.int64)),
-                 batch.column(2).take(owner), batch.column(3).take(owner), pa.array(np.array(at, dtype=np.int64) << RUN_BITS | 1),
-                 pa.array(asks, pa.bool_())], names=["digit", "third", "key", "size", "at", "asks"])
-
-    single = materialise(
-        long_enough.join(probes, ["key", "size"]).select("text", "probes", "key", "size").mapInArrow(
-            windows, "digit long, third long, key long, size int, at long, asks boolean"), "windows")
-    # a stretch that doesn't ask was found twice, so its windows are repeated as they stand
-    equal = materialise(single.groupBy("digit", "third").agg(
-        F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("n")).where("n > 1").select("digit", "third"), "equal")
-    found = single.where("asks").join(equal, ["digit", "third"]).select("key", "size", "at")
-    return settled.union(found)
+    step = min(PART, length)
+
+    def part_rows(data, at):
+        first, n = at >> 2 * BITS, at & MOST
+        anchor = first + (at >> BITS & MOST)
+        for k in range((anchor - first - n + 1) // step, (anchor - first) // step + 1):
+            high = anchor - k * step
+            low = high - step + 1
+            a, b = max(first, low), min(first + n - 1, high)
+            yield xxh(data[high:low + length]), xxh(data[a:b + length]), placed(a, anchor, b - a + 1)
+
+    def window_rows(data, at):
+        first = at >> 2 * BITS
+        for a in range(first, first + (at & MOST)):
+            yield xxh(data[a:a + length]), 0, placed(a, a, 1)
+
+    def taken_apart(probes, rows_of, name):
+        """digit, third, second, key, size, at, asks: what ``rows_of`` makes of the probed runs."""
+        probes = materialise(probes.groupBy("key", "size").agg(F.collect_list("probe").alias("probes")), f"{name}-probes")
+
+        def emit(batches):
+            for batch in batches:
+                digit, made, asks, owner = [], [], [], []
+                for k, (text, wanted) in enumerate(zip(texts(batch.column(0)), batch.column(1).to_pylist())):
+                    data = text.encode()
+                    for probe in wanted:
+                        own = list(rows_of(data, probe["at"]))
+                        made += own
+                        digit += [probe["digit"]] * len(own)
+                        asks += [probe["asks"]] * len(own)
+                        owner += [k] * len(own)
+                third, second, at = zip(*made) if made else ((), (), ())
+                owner = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(digit, pa.int64()), *(pa.array(np.array(h, dtype=np.uint64).view(np.int64)) for h in (third, second)),
+                     batch.column(2).take(owner), batch.column(3).take(owner), pa.array(at, pa.int64()),
+                     pa.array(asks, pa.bool_())], names=["digit", "third", "second", "key", "size", "at", "asks"])
+
+        found = long_enough.join(probes.hint("merge"), ["key", "size"]).select("text", "probes", "key", "size").mapInArrow(
+            emit, "digit long, third long, second long, key long, size int, at long, asks boolean")
+        return materialise(found, name)
+
+    # what doesn't ask was found twice already, so it counts as two
+    weight = F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("n")
+    one, place = F.min(F.struct("key", "size", "at")).alias("one"), ["key", "size", "at"]
+    probe = lambda of: of.select("one.key", "one.size", F.struct("one.at", "digit", (F.col("n") == 1).alias("asks")).alias("probe"))
+    parts = taken_apart(probe(groups.join(differ, "digit")), part_rows, "parts")
+    stretches_of = materialise(parts.groupBy("digit", "third", "second").agg(weight, one), "part-stretches")
+    settled_parts = parts.where("asks").join(
+        stretches_of.where("n > 1").select("digit", "third", "second"), ["digit", "third", "second"]).select(*place)
+    unsettled = materialise(stretches_of.groupBy("digit", "third").agg(
+        F.sum("n").alias("all"), F.min("n").alias("least")).where("all > 1 and least = 1").select("digit", "third"), "unsettled")
+    single = taken_apart(probe(stretches_of.join(unsettled, ["digit", "third"])), window_rows, "windows")
+    equal = materialise(single.groupBy("digit", "third").agg(weight).where("n > 1").select("digit", "third"), "equal")
+    found = single.where("asks").join(equal, ["digit", "third"]).select(*place)
+    return settled.union(settled_parts).union(found)
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, spans (start and end of every maximal removed run of bytes), kept (bytes)."""
-    if not 0 < gram <= length < (1 << RUN_BITS):
+    if not 0 < gram <= length <= MOST:
         raise ValueError("the gram must not be longer than the window, nor the window than a run's bits allow")
     rows = keyed(docs, id_col, text_col)
     marks = repeated_windows(rows, length, gram).groupBy("key", "size").agg(F.collect_list("at").alias("marks"))
@@ -182,8 +221,8 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM,
                 own, rest, end = [], [], 0
                 if marks.is_valid:
                     at = np.sort(marks.values.to_numpy())
-                    first = at >> RUN_BITS
-                    last = np.maximum.accumulate(first + (at & ((1 << RUN_BITS) - 1)) + length - 1)
+                    first = at >> 2 * BITS
+                    last = np.maximum.accumulate(first + (at & MOST) + length - 1)
                     new = np.flatnonzero(np.concatenate([[True], first[1:] > last[:-1]]))
                     for a, b in zip(first[new].tolist(), last[np.concatenate([new[1:] - 1, [len(at) - 1]])].tolist()):
                         own.append({"start": a, "end": b})
