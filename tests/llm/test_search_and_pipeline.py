@@ -43,8 +43,8 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "STEP", 16)
     r = random.Random(8)
     rows = [(i, [r.uniform(-3, 3) for _ in range(6)]) for i in range(300)]
-    rows += [(i, [1.0, 0, 0, 0, 0, 0.5]) for i in range(300, 360)]  # one very common vector: ties
-    rows += [(400, None), (None, [1.0] * 6), (401, []), (450, [1.0, None, 1, 1, 1, 1]), (451, [float("nan")] * 6),
+    rows += [(i, [1.0, 0.0, 0.0, 0.0, 0.0, 0.5]) for i in range(300, 360)]  # one very common vector: ties
+    rows += [(400, None), (None, [1.0] * 6), (401, []), (450, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (451, [float("nan")] * 6),
              (452, [float("inf")] + [0.0] * 5), (500, [1.0, 2.0]), (501, [2.0, 2.0]), (550, [9.0]), (10, [5.0] * 6), (10, [-5.0] * 6)]
     table = spark.createDataFrame([(*x, "id", "v") for x in rows], "vec_id long, embedding array<float>, id string, v string").repartition(3)
     found = top_k(table, F.col("id") % 10 == 0, k=7)
