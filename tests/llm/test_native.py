@@ -44,6 +44,19 @@ def test_measures(spark, small_dir, which):
         ((d, *plain_measures(t)) for d, t in pairs(docs)), key=repr)
 
 
+def test_repeats_are_equal_words_whatever_the_hash(spark, monkeypatch):
+    """Windows whose hashes agree by accident, in part or in full, are no repeats."""
+    whole = quality.F.xxhash64
+    rows = [(1, " ".join(f"w{k}" for k in range(300))), (2, "a b c d a b c " + " ".join(f"w{k}" for k in range(200)) + " d a b"),
+            (3, "x y z x y z y z x"), (4, "a b")]
+    for bits in (3, 5, 64):
+        weak = lambda *words: whole(*words) if bits == 64 else whole(*words).bitwiseAND((1 << bits) - 1)
+        monkeypatch.setattr(quality.F, "xxhash64", weak)
+        found = by_row(rule_ledger(frame(spark, rows)).select("row.doc_id", "m.*"), "doc_id", *MEASURES)
+        monkeypatch.setattr(quality.F, "xxhash64", whole)
+        assert found == sorted((d, *plain_measures(t)) for d, t in rows)
+
+
 def test_policies_and_ablations(spark, small_dir):
     docs = documents(spark, small_dir)
     ledger = rule_ledger(docs)

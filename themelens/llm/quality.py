@@ -8,8 +8,8 @@ bits: no text is read again.  All of it is row-local built-in functions, without
 Repeated 3-word windows are found inside the row: the windows' 64-bit hashes are
 compared for distinctness first; only rows with a repeat sort (hash, position) pairs,
 packed into one long with as many position bits as the row needs, and read neighbours.
-A false repeat needs two windows of one document to agree in all hash bits that are left
-(64 less the position bits, 50 for 16,000 words).
+Windows that agree in the hash bits that are left are sorted once more with their hash and
+words, so that only equal words count as a repeat, at every length of text.
 
 Defined results: a null or empty text has no words and all measurements zero (and fails
 ``few_words``); every row is measured for itself, so repeated rows, ties and null ids
@@ -78,7 +78,14 @@ def rule_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
         (k > 0 and shiftright(get(packed, k - 1), low) = shiftright(x, low))
         or (k + 1 < size(packed) and shiftright(get(packed, k + 1), low) = shiftright(x, low)))""")
     rows = rows.withColumn("twice", F.when(F.col("packed").isNotNull(), twice))
-    covered = F.expr(f"""aggregate(sort_array(transform(twice, x -> x & (shiftleft(1L, low) - 1))),
+    at = [f"'w{k}', get(words, i + {k})" for k in range(WINDOW)]
+    rows = rows.withColumn("alike", F.expr(f"""sort_array(transform(
+        transform(twice, x -> cast(x & (shiftleft(1L, low) - 1) as int)),
+        i -> named_struct('h', get(windows, i), {", ".join(at)}, 'i', cast(i as long))))"""))
+    same = " and ".join(f"get(alike, {{0}}).{c} = x.{c}" for c in ("h", *(f"w{k}" for k in range(WINDOW))))
+    rows = rows.withColumn("repeats", F.expr(f"""transform(filter(alike, (x, k) ->
+        (k > 0 and {same.format("k - 1")}) or (k + 1 < size(alike) and {same.format("k + 1")})), x -> x.i)"""))
+    covered = F.expr(f"""aggregate(sort_array(repeats),
         named_struct('last', -{WINDOW}L, 'n', 0L),
         (a, x) -> named_struct('last', x, 'n', a.n + least({WINDOW}L, x - a.last)), a -> a.n)""")
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(WORD))
@@ -88,7 +95,7 @@ def rule_ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         count_of("#*$%&|<>", text).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.col("twice").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
+        F.when(F.col("repeats").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         count_of("\\p{Lu}", text).alias("n_upper"),
         count_of("\\p{L}", text).alias("n_letters"),
