@@ -151,6 +151,14 @@ def test_plan_uses_every_length_once():
             assert least <= sequences <= first_fit * 1.03 + 3
 
 
+def test_plan_is_no_worse_than_best_fit():
+    r = random.Random(4)
+    for size in (16, 64, 128):
+        for k in range(60):
+            counts = {r.randrange(1, size + 1): r.randrange(1, 4 if k % 2 else 400) for _ in range(size // 2)}
+            assert sum(n for _, n in plan_sequences(counts, size)) <= sum(n for _, n in pack_rest(counts, size))
+
+
 def test_packing(spark, small_dir):
     from tokenizers import Tokenizer
     path = default_path("byte_bpe_50k.json")

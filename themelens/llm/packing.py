@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import binary, default_path, materialise, query, read, texts
 from .subwords import ByteBpe, encoder
 
-#: Shares of the fitted repeats that are tried; the plan with the fewest sequences is taken.
-SHARES = (1.0, 0.9, 0.75, 0.5)
+#: Shares of the fitted repeats that are tried; the plan with the fewest sequences is taken (0: best fit alone).
+SHARES = (1.0, 0.9, 0.75, 0.5, 0.0)
 #: Hashed shares in which the documents of one length are ranked.
 BUCKETS = 256
 
