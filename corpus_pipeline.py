@@ -6,8 +6,9 @@ last return the columns of ``documents``, with ``n_chars`` following the text.
 
 1. quality: documents that fail policy ``v1`` of the rule ledger go.
 2. lines: of every class of alike lines the first of the corpus stays.
-3. near_duplicates: of each group of texts within 3 fingerprint bits the smallest id stays
-   (of repeated rows of that id, one; rows without an id are a group of their own by text).
+3. near_duplicates: of each group of texts within 3 fingerprint bits one row stays, the one with the
+   smallest id (null after all others), then the smallest hash of the text.  Rows are told apart by a
+   key of their own, so ids may repeat or be null.
 4. personal_data: spans are replaced by their kind.
 5. packing: every piece of every text with its sequence and place.
 
@@ -44,11 +45,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, words=3, max_bits=3)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(first, "doc_id").select(*docs.columns).dropDuplicates(["doc_id"])
-    unnamed = docs.where("doc_id is null").dropDuplicates(["text"])
-    return named.union(unnamed)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"),
+                   F.monotonically_increasing_id().alias("number"))
+    rows = materialise(docs.select(F.struct("*").alias("row"), key.alias("key")), "rows")  # a number holds once it is written
+    found = near_duplicates(rows.select("key", F.col("row.text").alias("text")), words=3, max_bits=3, id_col="key")
+    heads = found.where("doc_id.number = component_id.number").select("component_id.number")
+    return rows.withColumn("number", F.col("key.number")).join(heads, "number").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

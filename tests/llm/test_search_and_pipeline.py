@@ -143,6 +143,27 @@ def test_stages_of_odd_rows(spark, small_dir):
     assert kept == sorted([(1, PARAGRAPH), (None, "x"), (3, None)], key=repr)
 
 
+def test_one_of_each_group_of_odd_ids(spark, small_dir):
+    """Every group keeps one row, whatever its ids are."""
+    r = random.Random(3)
+    line = lambda n: " ".join("".join(r.choice("bcdfgaeiou") for _ in range(6)) for _ in range(n))
+    a, b, c, d, e = (line(400) for _ in range(5))
+    near = lambda text: text.replace(" ", "  ")
+    rows = [(1, a), (1, b), (2, near(b)),  # two texts of one id, both heads
+            (3, c), (4, near(c)), (4, d),  # id 4: a copy of a smaller id's text and the only row of another group
+            (None, e), (None, near(e)), (None, a), (None, near(c))]
+    fps = [plain_fingerprint(t) for _, t in rows]
+    groups = Sets(len(rows))
+    for i in range(len(rows)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                groups.join(i, j)
+    number = {row: groups.root(k) for k, row in enumerate(rows)}
+    kept = by_row(corpus_pipeline.one_of_each(spark, frame(spark, rows), small_dir), "doc_id", "text")
+    assert sorted(number[k] for k in kept) == sorted(set(number.values()))
+    assert {(1, a), (1, b), (3, c), (4, d)} <= set(kept) and len(kept) == 5 and kept[-1][0] is None
+
+
 def test_the_rest_stands_alone(tmp_path):
     """Without the subpackage the registry still gives the other queries."""
     target = tmp_path / "repo"
