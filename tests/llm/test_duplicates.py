@@ -242,6 +242,26 @@ def test_repeats_of_planted_passages(spark):
         remove_repeats(docs, length=10, gram=11)
 
 
+def test_repeats_of_many_copies(spark, monkeypatch):
+    """What is gathered for a text doesn't grow with its copies."""
+    from themelens.llm import substrings
+    written = {}
+    write = substrings.materialise
+    monkeypatch.setattr(substrings, "materialise", lambda df, name: written.setdefault(name, write(df, name)))
+    r = random.Random(5)
+    noise = lambda n: "".join(r.choice("abcdé ") for _ in range(n))
+    hot, pair, other = noise(400), noise(300), noise(300)
+    rows = [(d, hot) for d in range(60)] + [(d, pair) for d in (60, 61)] + [(70, noise(90) + hot[50:200] + noise(90) + pair[:70])]
+    rows += [(80, other), (81, noise(60) + other[100:180] + other[100:180]), (90, "short"), (91, "short")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert digest(remove_repeats(docs, length=40, gram=12)) == plain_repeats(rows, 40)
+    bound = max(len(Rolling(40, 12).runs(t.encode())[0]) for _, t in rows) + max(len(t.encode()) for _, t in rows)
+    sizes = [len(m.marks or ()) for m in written["marks"].collect()]
+    assert max(sizes) <= bound
+    of_hot = [m for m in written["marks"].collect() if m.size == len(hot.encode())]
+    assert len(of_hot) == 1 and len(of_hot[0].marks or ()) <= len(Rolling(40, 12).runs(hot.encode())[0])
+
+
 def test_runs_of_a_long_text(monkeypatch):
     from themelens.llm import substrings
     data = bytes(random.Random(1).choice(b"abcd") for _ in range(5000))

@@ -21,8 +21,10 @@ Of a stretch found twice, one copy stands for all in the passes after.
 
 All passes count with partial sums and join written tables, so that a passage which many
 documents share is split over tasks.  Texts are known by their content (hash and length):
-equal texts get equal answers.  The marked windows are gathered for each text, whose own
-length bounds them.
+equal texts get equal answers.  A text with two copies or more is repeated with all its
+windows, so its copies are only counted; to the passes every task sends a text once, since
+they have to tell other texts' windows alone.  The marked windows are gathered for each text
+that has no copy, as a set, which its own length bounds.
 
 Defined results: a null text is the empty text; a text shorter than ``length`` bytes keeps
 all; repeated rows remove each other; null document ids are carried along; an empty table
@@ -44,6 +46,8 @@ SEGMENT = 1 << 20
 LOW = np.uint64((1 << 21) - 1)  # place of a gram in its segment
 #: Windows of a part into which runs are taken apart.
 PART = 16
+#: Texts that a task remembers so as not to send their runs twice.
+SEEN = 200_000
 #: A run's place: start, then in BITS each its first digit's distance from the start and its number of windows.
 BITS = 12
 MOST = (1 << BITS) - 1
@@ -106,20 +110,40 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         "key", F.xxhash64("text")).withColumn("size", F.octet_length("text"))
 
 
+def unseen(keys, sizes, seen: set) -> list[bool]:
+    """Which texts are met for the first time by the task whose ``seen`` it is."""
+    out = []
+    for text in zip(keys.to_pylist(), sizes.to_pylist()):
+        out.append(text not in seen)
+        if len(seen) < SEEN:
+            seen.add(text)
+    return out
+
+
 def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, size, at): runs of repeated windows of each text, by their places."""
+    """(key, size, at): runs of repeated windows of each text without a copy, by their places; may repeat.
+
+    Of texts with copies any of their runs may be there.
+    """
     from xxhash import xxh3_64_intdigest as xxh
 
     rolling = Rolling(length, gram)
     long_enough = rows.where(F.col("size") >= length)
 
     def first_digits(batches):
+        seen = set()
         for batch in batches:
-            found = [rolling.runs(t.encode())[0] for t in texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["digit"])
+            batch = batch.filter(pa.array(unseen(batch.column(1), batch.column(2), seen), pa.bool_()))
+            if batch.num_rows:
+                found = [rolling.runs(t.encode())[0] for t in texts(batch.column(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["digit"])
 
     def stretches(batches):
+        seen = set()
         for batch in batches:
+            batch = batch.filter(pa.array(unseen(batch.column(1), batch.column(2), seen), pa.bool_()))
+            if not batch.num_rows:
+                continue
             digit, second, owner, at = [], [], [], []
             for k, text in enumerate(texts(batch.column(0))):
                 data = text.encode()
@@ -134,7 +158,7 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
                  batch.column(1).take(owner), batch.column(2).take(owner), pa.array(np.concatenate(at))],
                 names=["digit", "second", "key", "size", "at"])
 
-    digits = long_enough.select("text").mapInArrow(first_digits, "digit long")
+    digits = long_enough.select("text", "key", "size").mapInArrow(first_digits, "digit long")
     twice = materialise(digits.groupBy("digit").count().where("count > 1").select("digit"), "digits")
     runs = materialise(
         long_enough.select("text", "key", "size").mapInArrow(
@@ -165,7 +189,9 @@ def repeated_windows(rows: DataFrame, length: int, gram: int) -> DataFrame:
         probes = materialise(probes.groupBy("key", "size").agg(F.collect_list("probe").alias("probes")), f"{name}-probes")
 
         def emit(batches):
+            seen = set()
             for batch in batches:
+                batch = batch.filter(pa.array(unseen(batch.column(2), batch.column(3), seen), pa.bool_()))
                 digit, made, asks, owner = [], [], [], []
                 for k, (text, wanted) in enumerate(zip(texts(batch.column(0)), batch.column(1).to_pylist())):
                     data = text.encode()
@@ -208,18 +234,26 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM,
     if not 0 < gram <= length <= MOST:
         raise ValueError("the gram must not be longer than the window, nor the window than a run's bits allow")
     rows = keyed(docs, id_col, text_col)
-    marks = repeated_windows(rows, length, gram).groupBy("key", "size").agg(F.collect_list("at").alias("marks"))
+    # texts with copies are settled whole and need no marks, those without have one row for theirs
+    copies = rows.where(F.col("size") >= length).groupBy("key", "size").count().where("count > 1")
+    copies = materialise(copies.select("key", "size", F.lit(True).alias("copied")), "copies")
+    marks = repeated_windows(rows, length, gram).groupBy("key", "size").agg(F.collect_set("at").alias("marks"))
+    marks = marks.join(copies, ["key", "size"], "full").select(
+        "key", "size", F.when(F.col("copied").isNull(), F.col("marks")).alias("marks"), "copied")
     marks = materialise(marks, "marks")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
             spans, kept, sizes = [], [], []
-            for text, marks in zip(texts(batch.column(1)), batch.column(2)):
+            for text, marks, copied in zip(texts(batch.column(1)), batch.column(2), batch.column(3).to_pylist()):
                 data = text.encode()
                 sizes.append(len(data))
                 own, rest, end = [], [], 0
-                if marks.is_valid:
+                if copied:
+                    own.append({"start": 0, "end": len(data)})
+                    end = len(data)
+                elif marks.is_valid:
                     at = np.sort(marks.values.to_numpy())
                     first = at >> 2 * BITS
                     last = np.maximum.accumulate(first + (at & MOST) + length - 1)
@@ -236,7 +270,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, gram: int = GRAM,
                  pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), binary(kept)],
                 names=["doc_id", "n_bytes", "spans", "kept"])
 
-    joined = rows.join(marks, ["key", "size"], "left").select("doc_id", "text", "marks")
+    joined = rows.join(marks, ["key", "size"], "left").select("doc_id", "text", "marks", "copied")
     return joined.mapInArrow(cut, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
