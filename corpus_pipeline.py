@@ -58,7 +58,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack_documents(docs, default_path("byte_bpe_50k.json"))[1]
+    return pack_documents(docs, default_path("byte_bpe_50k.json"))[1].drop("piece_id")
 
 
 STAGES = [

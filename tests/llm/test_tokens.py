@@ -159,6 +159,22 @@ def test_plan_is_no_worse_than_best_fit():
             assert sum(n for _, n in plan_sequences(counts, size)) <= sum(n for _, n in pack_rest(counts, size))
 
 
+def test_sequences_of_repeated_and_null_ids(spark):
+    path, size = default_path("byte_bpe_50k.json"), 16
+    texts = ["one two three", "four five", "six " * 40, "seven " * 21, "one two three"]
+    rows = [(d, t) for d in (1, None, 2) for t in texts]
+    pieces, placed = pack_documents(frame(spark, rows), path, size=size)
+    whole = packed_sequences(pieces, placed).collect()
+    assert all(r.n_tokens <= size and len(r.ids) == 4 * r.n_tokens for r in whole)
+    cut = [bytes(r.ids) for r in pieces.collect()]
+    of_piece = {r.piece_id: bytes(r.ids) for r in pieces.collect()}
+    sequences = defaultdict(list)
+    for r in placed.collect():
+        sequences[r.sequence_id].append((r.offset, of_piece[r.piece_id]))
+    assert {r.sequence_id: bytes(r.ids) for r in whole} == {k: b"".join(x for _, x in sorted(v)) for k, v in sequences.items()}
+    assert sum(len(r.ids) for r in whole) == sum(map(len, cut))
+
+
 def test_packing(spark, small_dir):
     from tokenizers import Tokenizer
     path = default_path("byte_bpe_50k.json")

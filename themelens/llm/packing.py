@@ -266,8 +266,7 @@ def place(pieces: DataFrame, size: int, keys: list[str]) -> DataFrame:
 
 def packed_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
     """sequence_id, n_tokens, ids: the token ids of every sequence, for pieces with ids."""
-    key = ["doc_id", "piece"]
-    joined = placed.select(*key, "sequence_id", "offset").join(pieces.select(*key, "ids", "length"), key)
+    joined = placed.select("piece_id", "sequence_id", "offset").join(pieces.select("piece_id", "ids", "length"), "piece_id")
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return joined.groupBy("sequence_id").agg(
         F.sum("length").alias("n_tokens"), parts.alias("parts")).select(
@@ -277,9 +276,13 @@ def packed_sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024,
                    id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pieces with their ids, the pieces' places): encode, cut, plan and place all ``docs``."""
-    pieces = materialise(cut_pieces(docs, path, end_id, size, id_col, text_col), "pieces")
-    light = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    """(pieces with their ids, the pieces' places): encode, cut, plan and place all ``docs``.
+
+    Both have ``piece_id``, a number of the piece's own, since document ids may repeat or be null.
+    """
+    pieces = cut_pieces(docs, path, end_id, size, id_col, text_col).withColumn("piece_id", F.monotonically_increasing_id())
+    pieces = materialise(pieces, "pieces")
+    light = pieces.select("piece_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pieces, place(light, size, ["doc_id", "piece", "start", "ids_crc32"])
 
 
@@ -287,4 +290,4 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of ``documents`` with its sequence and place there."""
     _, placed = pack_documents(read(spark, sf_dir, "documents", "doc_id", "text"), default_path("byte_bpe_50k.json"))
-    return placed
+    return placed.drop("piece_id")
