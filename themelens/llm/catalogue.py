@@ -1,4 +1,6 @@
 """Importing this module registers the queries of every operator here."""
 
-from . import licenses, lines, packing, pieces, pii, quality, simhash, substrings, token_files, topk  # noqa: F401
+from . import (  # noqa: F401
+    licenses, lines, minhash, packing, pieces, pii, quality, simhash, spelling, substrings, token_files, topk, whitening,
+)
 from .common import ORACLES, QUERIES  # noqa: F401
