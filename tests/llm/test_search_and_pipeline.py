@@ -164,14 +164,15 @@ def test_one_of_each_group_of_odd_ids(spark, small_dir):
     assert {(1, a), (1, b), (3, c), (4, d)} <= set(kept) and len(kept) == 5 and kept[-1][0] is None
 
 
-def test_the_rest_stands_alone(tmp_path):
-    """Without the subpackage the registry still gives the other queries."""
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"]])
+def test_the_rest_stands_alone(tmp_path, gone):
+    """Without the two folders, with and without the pipeline, the registry still gives the other queries."""
     target = tmp_path / "repo"
-    shutil.copytree(ROOT, target, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, target, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); print(len(q), [n for n in q if n.startswith('op') or n == 'pipeline'])"
     said = subprocess.run([sys.executable, "-c", code], cwd=target, capture_output=True, text=True,
                           env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert said.returncode == 0, said.stderr
     assert re.match(r"\d{2,} \[\]", said.stdout)
     names = set(QUERIES)
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names}
+    assert {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", n)[0] for n in names}
