@@ -176,15 +176,16 @@ def q_core_distance(spark, sf_dir):
     return c.select("vec_id", F.round("core_distance", 6).alias("core_distance"))
 
 
-@query("mutual_reachability", oracle=SQL_LONG + f""",
-pairs AS (
-  SELECT a.vec_id AS id, b.vec_id AS other, sum((a.x - b.x) * (a.x - b.x)) AS r
-  FROM lv a JOIN lv b ON a.dim = b.dim GROUP BY a.vec_id, b.vec_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(r, 9), other) AS rk FROM pairs),
-core AS (SELECT id, sqrt(r) AS c FROM ranked WHERE rk = {MIN_SAMPLES}),
-near AS (SELECT id AS id_a, other AS id_b, sqrt(r) AS d FROM pairs WHERE id < other AND r <= {RANGE_T} * {RANGE_T})
-SELECT n.id_a, n.id_b, round(n.d, 6) AS distance, round(greatest(ca.c, cb.c, n.d), 6) AS weight
-FROM near n JOIN core ca ON ca.id = n.id_a JOIN core cb ON cb.id = n.id_b""")
+@query("mutual_reachability", oracle=f"""
+WITH pairs AS (
+  SELECT a.vec_id AS id, b.vec_id AS other,
+         list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+  FROM embeddings a CROSS JOIN embeddings b),
+core AS (SELECT id, d AS c FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d, 9), other) AS rk FROM pairs)
+         WHERE rk = {MIN_SAMPLES})
+SELECT p.id AS id_a, p.other AS id_b, round(p.d, 6) AS distance, round(greatest(ca.c, cb.c, p.d), 6) AS weight
+FROM pairs p JOIN core ca ON ca.id = p.id JOIN core cb ON cb.id = p.other
+WHERE p.id < p.other AND p.d <= {RANGE_T}""")
 def q_mutual_reachability(spark, sf_dir):
     from ..operators.density import mutual_reachability
     m = mutual_reachability(_emb(spark, sf_dir), MIN_SAMPLES, RANGE_T)
@@ -207,3 +208,22 @@ def q_density_cluster(spark, sf_dir):
     stats = lab.agg(F.count(F.lit(1)).alias("n_rows"),
                     F.count_if((F.col("cluster") < -1) | (F.col("cluster") >= F.lit(k))).alias("n_bad_label"))
     return stats.withColumn("n_small", F.lit(small.first()["n_small"]).cast("long"))
+
+
+PLANTED_NOISE = 97
+
+
+@query("density_planted", oracle=f"""
+WITH named AS (SELECT vec_id, label, vec_id % {PLANTED_NOISE} = 0 AS far FROM embeddings),
+firsts AS (SELECT label, row_number() OVER (ORDER BY min(vec_id)) - 1 AS cluster FROM named WHERE NOT far GROUP BY label)
+SELECT n.vec_id, CAST(CASE WHEN n.far THEN -1 ELSE f.cluster END AS INTEGER) AS cluster
+FROM named n LEFT JOIN firsts f USING (label)""")
+def q_density_planted(spark, sf_dir):
+    """C2 on the vectors drawn together around a place of their label, some of them thrown far away:
+    every label is a cluster, numbered by its first vector, and what lies far away is noise."""
+    from ..operators.density import density_cluster
+    far = F.when(F.col("vec_id") % PLANTED_NOISE == 0, F.lit(1000.0) + F.col("vec_id")).otherwise(F.lit(0.0))
+    place = F.array(F.col("label") * 4.0, far)
+    near = F.transform(vx.as_double_array("embedding"), lambda x: x * 0.3)
+    moved = _emb(spark, sf_dir).select("vec_id", F.concat(near, place).alias("embedding"))
+    return density_cluster(moved).select("vec_id", "cluster")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -63,3 +64,14 @@ def cut_lineage(df):
     """Reliable checkpoint into the shared folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """``df`` as a table in the shared folder: later steps read its files, also after executors are lost.
+
+    Unlike after a checkpoint, the optimizer starts afresh from here: it carries no constraints on, which
+    would double with every round of a loop.
+    """
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), f"table-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
