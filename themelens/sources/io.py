@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..session import ensure_checkpoint_dir
+from .split_files import csv_records, json_records
 
 RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in lx.RECORD_COLUMNS])
 
@@ -32,7 +33,7 @@ def _kind(path: str) -> str:
 
 
 def read_records(spark: SparkSession, path: str, schema: T.StructType | None = RECORD_SCHEMA,
-                 multiline_json: bool | None = None) -> DataFrame:
+                 multiline_json: bool | None = None, splittable: bool = True) -> DataFrame:
     """CSV (header, quoted multi-line fields) or JSON by extension.
 
     CSV columns are bound by their header names, read as text and cast to
@@ -41,23 +42,32 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType | None = R
     or object over many lines; unless ``multiline_json`` says which, the first line that
     isn't blank tells.  Input that can't be parsed raises.  Other extensions raise
     ``ValueError``.
+
+    CSV files and JSON arrays are read by many tasks a file (:mod:`split_files`).  With ``splittable=False``
+    every file is one task's, which also reads quotes that don't follow RFC 4180 (one within an unquoted
+    field), lone carriage returns as line ends, and arrays of other things than objects.
     """
     if _kind(path) == "csv":
         rows = spark.read.options(**CSV_OPTIONS, mode="FAILFAST").csv(path)
+        if splittable and rows.columns:
+            rows = csv_records(spark, path, rows.columns, CSV_OPTIONS)
         if schema is None:
             return rows
         return rows.select(*[(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                              for f in schema])
     if multiline_json is None:
         multiline_json = not path.rstrip("/").lower().endswith(".jsonl") and _starts_array(spark, path)
+    if multiline_json and splittable and schema is not None and _starts_array(spark, path, "["):
+        return json_records(spark, path, schema)
     reader = spark.read.option("mode", "FAILFAST").option("multiLine", str(multiline_json).lower())
     return (reader.schema(schema) if schema is not None else reader).json(path)
 
 
-def _starts_array(spark: SparkSession, path: str) -> bool:
+def _starts_array(spark: SparkSession, path: str, *opening: str) -> bool:
     """Whether a JSON file is laid out over many lines: its first line opens an array or an object only."""
-    first = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").first()
-    return first is not None and (first.line.startswith("[") or first.line == "{")
+    line = F.trim(F.translate(F.substring("value", 1, 1000), "\ufeff\r\t", "")).alias("line")
+    first = spark.read.text(path).select(line).where("line <> ''").first()
+    return first is not None and (first.line.startswith("[") or first.line == "{" and "[" not in opening)
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> bool:
