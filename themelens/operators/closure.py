@@ -3,17 +3,19 @@
 Each round joins the frontier with the edge table, removes what was already
 reached (anti join) and appends the rest; the loop ends when a round adds
 nothing.  Rounds are bounded by the graph depth, every round is a distributed
-join, and the reached set is written to the shared checkpoint folder each
-round so lineage stays short and a lost executor only costs the last round.
+join, and what it adds is appended as a table of its own in the shared folder, so nothing
+that was reached is written again and a lost executor only costs the last round.
 Cycles end naturally because reached nodes never re-enter the frontier.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import written
 
 
 def link_closure(starts: DataFrame, edges: DataFrame, max_rounds: int | None = None) -> DataFrame:
@@ -22,22 +24,18 @@ def link_closure(starts: DataFrame, edges: DataFrame, max_rounds: int | None = N
     ``starts``: (start, node); ``edges``: (src, dst).  Returns (start, node, depth).
     ``max_rounds`` is only a safety stop for runaway graphs; None = until done.
     """
-    e = edges.select(F.col("src"), F.col("dst")).filter(F.col("dst").isNotNull()).distinct()
-    reached = cut_lineage(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)))
-    frontier = reached
-    depth = 0
-    while max_rounds is None or depth < max_rounds:
-        depth += 1
-        step = (frontier.join(e, frontier.node == e.src)
-                .select("start", F.col("dst").alias("node")).distinct()
-                .join(reached.select("start", "node"), ["start", "node"], "left_anti")
-                .withColumn("depth", F.lit(depth)))
-        step = cut_lineage(step)
+    e = written(edges.select(F.col("src"), F.col("dst")).filter(F.col("src").isNotNull() & F.col("dst").isNotNull()).distinct())
+    rounds = [written(starts.select("start", "node").distinct().withColumn("depth", F.lit(0)))]
+    while max_rounds is None or len(rounds) <= max_rounds:
+        frontier, seen = rounds[-1], reduce(DataFrame.union, rounds).select("start", "node")
+        step = written(frontier.join(e, frontier.node == e.src)
+                       .select("start", F.col("dst").alias("node")).distinct()
+                       .join(seen, ["start", "node"], "left_anti")
+                       .withColumn("depth", F.lit(len(rounds))))
         if step.isEmpty():
             break
-        reached = cut_lineage(reached.unionByName(step))
-        frontier = step
-    return reached
+        rounds.append(step)
+    return reduce(DataFrame.union, rounds)
 
 
 def pagination_closure(pages_links: DataFrame, start_urls: DataFrame, token: str = "page=") -> DataFrame:

@@ -7,11 +7,12 @@ bound (n rows) and is broadcast; everything else is left to AQE.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions import text as tx
+from .ranks import global_rank
 
 #: A2 guard: what a numeric parse accepts (pandas-like), whitespace as Python's
 NUMBER_PATTERN = (f"^[{tx.WS_CLASS}]*[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?"
@@ -83,12 +84,11 @@ def category_order(counts: DataFrame, key: str = "orientador_principal", value:
                    descending: bool = True) -> DataFrame:
     """Order categories by their total (ties by name).
 
-    Runs on an already aggregated, small table (one row per category); the
-    global window is therefore over a bounded number of rows.
+    The places are running counts over ranges of the totals, so no task sees all categories.
     """
     totals = counts.groupBy(key).agg(F.sum(value).cast("long").alias("total"))
     order = F.desc("total") if descending else F.asc("total")
-    return totals.withColumn("position", F.row_number().over(Window.orderBy(order, F.asc(key))).cast("long"))
+    return global_rank(totals, [order, F.asc(key)], "position")
 
 
 def item_table(df: DataFrame) -> DataFrame:

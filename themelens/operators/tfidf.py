@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vectors as vx
 from ..functions.lexicon import STOP_WORDS
+from .ranks import global_rank
 
 #: largest vocabulary that is attached to rows as a literal map
 INLINE_VOCAB_LIMIT = 100_000
@@ -201,8 +202,8 @@ def fit_tfidf(df: DataFrame, text_col: str = "texto_processado", doc_col: str =
     n_terms = vocab.count()
     if n_terms == 0:
         raise ValueError("After pruning, no terms remain. Try a lower min_df or a higher max_df.")
-    vocab_df = (vocab.withColumn("idf", idf_column(n_docs))
-                .withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1))
+    vocab_df = global_rank(vocab.withColumn("idf", idf_column(n_docs)), ["term"], "rank")
+    vocab_df = vocab_df.withColumn("term_id", (F.col("rank") - 1).cast("int")).drop("rank")
     long = (tx.explode_rows(docs_tf, [doc_col], "tf")
             .select(doc_col, F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
             .join(vocab_df.select("term", "term_id", "idf"), "term")

@@ -12,8 +12,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..operators import harvest, themes
+from ..operators import closure, harvest, themes
 from ..operators import reports as rp
+from ..operators.crawl import harvest_all
+from ..operators.ranks import global_rank
 from ..sources.tables import order_records, read_table
 from .q_themes import SQL_LANG_CLUSTERS, _keywords
 from .registry import query
@@ -89,6 +91,86 @@ def q_item_records(spark, sf_dir):
     return _records(spark, sf_dir)
 
 
+def listing_pages(spark, sf_dir):
+    """page_id, url, html: one listing page for every document, eight to a block.
+
+    A page leads to the next one of its block and back to the first, but none leads to the last; the first page of a
+    block leads to those of two more.  Some pages are too short to count, which cuts off what only they lead to.
+    Every page links to its own item twice and to one further on, which may not exist.
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id")
+    n = F.col("doc_id")
+    block = F.floor(n / 8)
+
+    def link(to, token="page="):
+        return F.concat(F.lit(f"<a href='/items/browse?{token}"), to.cast("string"), F.lit("'>p</a>"))
+
+    def item(to):
+        return F.concat(F.lit("<a href='/items/show/"), to.cast("string"), F.lit("'>i</a>"))
+
+    body = F.concat(
+        F.lit("<html><body><!-- <a href='/items/browse?page=x'>no</a> -->"), item(n), item(n), item(n * 3),
+        F.lit("<a href='https://b.org/items/show/1'>other</a><a href='/about'>about</a>"),
+        F.when(n % 8 < 6, link(n + 1)).otherwise(link(n + 1, "p=")), link(block * 8),
+        F.when(n % 8 == 0, F.concat(link(16 * block + 8), link(16 * block + 16))).otherwise(F.lit("")), F.lit("</body></html>"))
+    html = F.when(n % 17 == 3, F.lit("<a href='/items/show/2'>short</a>")).otherwise(body)
+    return d.select(n.alias("page_id"), F.concat(F.lit(f"{HOST}/items/browse?page="), n.cast("string")).alias("url"), html.alias("html"))
+
+
+START = f"{HOST}/items/browse?page=0"
+SQL_LISTING = SQL_ITEM_PAGES.replace("WITH pages_of", "WITH RECURSIVE pages_of", 1) + """,
+edges AS (
+  SELECT n, unnest(CASE WHEN n % 8 = 0 THEN [n // 8 * 8, 16 * (n // 8) + 8, 16 * (n // 8) + 16] ELSE [n // 8 * 8] END) AS m
+  FROM pages_of WHERE n % 17 <> 3
+  UNION ALL SELECT n, n + 1 FROM pages_of WHERE n % 17 <> 3 AND n % 8 < 6),
+reach(n) AS (SELECT 0 UNION SELECT e.m FROM reach r JOIN edges e ON e.n = r.n),
+items AS (
+  SELECT DISTINCT unnest([p.n, p.n * 3]) AS n FROM reach r JOIN pages_of p ON p.n = r.n WHERE p.n % 17 <> 3)"""
+
+
+@query("pagination_pages", oracle=SQL_LISTING + f"""
+SELECT url, row_number() OVER (ORDER BY url) AS position
+FROM (SELECT '{HOST}/items/browse?page=' || n AS url FROM reach)""")
+def q_pagination_pages(spark, sf_dir):
+    """H6 over real pagination links, with cycles and pages that none leads to; in the order of the text."""
+    pages = listing_pages(spark, sf_dir)
+    links = harvest.page_links(harvest.size_guard(pages)).select("url", "link")
+    found = closure.pagination_closure(links, spark.createDataFrame([(START,)], "url string")).select("url")
+    return global_rank(found, ["url"], "position")
+
+
+def _crawl(spark, sf_dir):
+    items = item_pages(spark, sf_dir)
+    return harvest_all(listing_pages(spark, sf_dir).union(items), START, HOST, constants={"curso": "Curso", "instituicao": "Casa"})
+
+
+@query("harvest_all", oracle=SQL_LISTING + f"""
+SELECT r.* FROM records r JOIN items i ON r.link_acesso = '{HOST}/items/show/' || i.n WHERE titulo <> ''""")
+def q_harvest_all(spark, sf_dir):
+    """H1-H16 from the start page to the records: short, repeated and untitled item pages, and items without a page."""
+    return _crawl(spark, sf_dir).records
+
+
+@query("harvest_states", oracle=SQL_LISTING + f"""
+SELECT '{HOST}/items/browse?page=' || r.n AS url, 'listing' AS kind,
+       CASE WHEN p.n IS NULL OR p.n % 17 = 3 THEN 'failed' ELSE 'read' END AS state
+FROM reach r LEFT JOIN pages_of p ON p.n = r.n
+UNION ALL
+SELECT '{HOST}/items/show/' || i.n, 'item', CASE WHEN r.titulo <> '' THEN 'read' WHEN r.titulo = '' THEN 'untitled' ELSE 'failed' END
+FROM items i LEFT JOIN records r ON r.link_acesso = '{HOST}/items/show/' || i.n""")
+def q_harvest_states(spark, sf_dir):
+    """The state of every URL of the crawl."""
+    return _crawl(spark, sf_dir).states.drop("depth")
+
+
+@query("harvest_rate", oracle=SQL_LISTING + f"""
+SELECT count_if(r.titulo <> '') AS n_ok, count(*) AS n_links, count_if(r.titulo <> '') / count(*) AS success_rate
+FROM items i LEFT JOIN records r ON r.link_acesso = '{HOST}/items/show/' || i.n""")
+def q_harvest_rate(spark, sf_dir):
+    """H17 of the whole crawl."""
+    return _crawl(spark, sf_dir).rate
+
+
 @query("item_record_stats", oracle=SQL_ITEM_PAGES + """
 SELECT (SELECT count(DISTINCT link_acesso) FROM records WHERE titulo <> '') AS n_ok, count(DISTINCT url) AS n_links,
        (SELECT count(DISTINCT link_acesso) FROM records WHERE titulo <> '') / count(DISTINCT url) AS success_rate
