@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 
 TABLES = ["customer", "orders", "documents", "embeddings", "pages"]
-SLOW = {"theme_pipeline", "scatter_data", "pipeline_invariants", "density_cluster", "density_planted"}
+SLOW = {"theme_pipeline", "scatter_data", "pipeline_invariants", "density_cluster", "density_planted", "harvest_states", "harvest_rate"}
 
 
 @pytest.fixture(scope="module")

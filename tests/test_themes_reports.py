@@ -96,3 +96,37 @@ def test_naming_computes_keywords_when_missing(spark):
                                  "doc_id long, cluster int, tfidf array<struct<term:string,term_id:int,w:double>>")
     got = themes.name_clusters_from_docs(docs, themes.theme_table(spark)).first()
     assert got.cluster_name == "Desenvolvimento Web & API (C0)"
+
+
+def test_term_means_do_not_depend_on_partitions(spark):
+    import random
+    from themelens.operators import themes
+    r = random.Random(6)
+    rows = [(k, k % 3, [(f"t{r.randrange(20)}", r.random() ** 9) for _ in range(12)]) for k in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, cluster int, tfidf array<struct<term:string,w:double>>")
+    found = [sorted(map(tuple, themes.cluster_term_means(d).select("cluster", "term", "score").collect()))
+             for d in (df.repartition(1), df.repartition(7), df.orderBy("doc_id").coalesce(1))]
+    assert found[0] == found[1] == found[2]
+    sums = {}
+    for k, c, terms in rows:
+        for t, w in terms:
+            sums[c, t] = sums.get((c, t), 0.0) + w / 200
+    assert all(abs(s - sums[c, t]) < 1e-12 for c, t, s in found[0])
+
+
+def test_pipeline_reports_save_and_folded_lexicon(spark, small_dir, tmp_path):
+    from pyspark.sql import functions as F
+    from themelens.plans.pipeline import theme_pipeline
+    from themelens.sources import io
+    from themelens.sources.tables import document_records
+    records = document_records(spark, small_dir).withColumn("ano", F.lit("2020"))
+    res = theme_pipeline(records, k=3, top_n=5, fold_lexicon=True)
+    reports = res.reports(top_n=4)
+    assert set(reports) == {"cluster_stats", "cluster_sizes", "items", "cloud_weights", "cloud_titles", "scatter", "ranking",
+                            "themes_by_advisor", "advisor_order", "advisor_by_year"}
+    assert reports["ranking"].count() == 4 and reports["cluster_sizes"].count() == 3
+    assert reports["items"].count() == res.docs.count()
+    for ending in (".csv", ".json"):
+        path = str(tmp_path / f"out{ending}")
+        saved = res.save(path)
+        assert io.read_records(spark, path, schema=saved.schema).count() == saved.count()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
 from ..functions.text import explode_rows
+from .sums import stable_sum
 
 SCORE_ORDER_DIGITS = 9
 
@@ -36,11 +37,14 @@ def cluster_stats(assign: DataFrame, cluster_col: str = "cluster", noise: int =
 
 def cluster_term_means(docs: DataFrame, cluster_col: str = "cluster", weights_col: str = "tfidf",
                        noise: int = lx.NOISE_LABEL) -> DataFrame:
-    """Mean weight per (cluster, term); absent = 0, divisor = cluster size."""
+    """Mean weight per (cluster, term); absent = 0, divisor = cluster size.
+
+    The sums are the same for any partitioning of the documents.
+    """
     d = docs.filter(F.col(cluster_col) != F.lit(noise))
     sums = (explode_rows(d, [cluster_col], weights_col)
             .groupBy(cluster_col, F.col("x.term").alias("term"))
-            .agg(F.sum("x.w").alias("w_sum")))
+            .agg(stable_sum(F.col("x.w")).alias("w_sum")))
     sizes = cluster_sizes(d, cluster_col)           # broadcast if its measured size allows
     return (sums.join(sizes, cluster_col)
             .select(cluster_col, "term", (F.col("w_sum") / F.col("n_docs")).alias("score")))
@@ -49,8 +53,8 @@ def cluster_term_means(docs: DataFrame, cluster_col: str = "cluster", weights_co
 def top_terms(means: DataFrame, top_n: int = 10, cluster_col: str = "cluster") -> DataFrame:
     """Top ``top_n`` terms per cluster by score (ties: term ascending).
 
-    Scores are compared at 9 decimals so that float summation order cannot swap
-    near-ties.  Spark plans the ``rank <= n`` filter as a WindowGroupLimit, so each
+    Scores are compared at 9 decimals, so that terms of equal weight are ties although
+    their weights were rounded differently.  Spark plans the ``rank <= n`` filter as a WindowGroupLimit, so each
     task keeps only n rows per cluster before the exchange.
     """
     w = Window.partitionBy(cluster_col).orderBy(

@@ -20,7 +20,9 @@ from .split_files import csv_records, json_records
 
 RECORD_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in lx.RECORD_COLUMNS])
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8"}
+#: blanks around a value are kept (Spark's writer drops them unless told not to)
+CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"', "encoding": "UTF-8",
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
 
 def _kind(path: str) -> str:
