@@ -54,7 +54,8 @@ def test_json_lines_and_broken_input(spark, tmp_path):
 def test_references_resolve_as_the_standard_says(spark):
     base = "https://h.org"
     hrefs = ["/../x", "a/../b", "/a/./b", "x/../../y", "./a", "../a", "a/b/..", "a/.", "..", ".", "/", "a//b/c", "/a//b",
-             "?q=../x", "#a/../b", "a/../b?x=./y#z/..", "//c.org/a/../b", "https://x.org/a/../b", "", "é/../ü", "a/b/../../../c/"]
+             "?q=../x", "#a/../b", "a/../b?x=./y#z/..", "//c.org/a/../b", "https://x.org/a/../b", "", "é/../ü", "a/b/../../../c/",
+             " /x ", "\t/a\nb", "\x01 /c", "  ", " https://x.org/a ", "\xa0/x", " ?q=1 ", "/a\r\n", "\n//c.org/d", "a b "]
     df = spark.createDataFrame([(h,) for h in hrefs], "h string")
     got = [r.u for r in df.select(urls.resolve_url(F.col("h"), F.lit(base)).alias("u")).collect()]
     assert got == [urljoin(base, h) for h in hrefs]

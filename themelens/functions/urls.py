@@ -54,11 +54,12 @@ def without_dots(path: Column) -> Column:
 def resolve_url(href: Column, base: Column) -> Column:
     """H3: resolve ``href`` against a site root (a base without a path).
 
-    Absolute references stay as they are; ``//host`` takes the base scheme;
+    Blanks and control characters before a reference, and tabs and line ends in it, are no part
+    of it.  Absolute references stay as they are; ``//host`` takes the base scheme;
     ``?query``, ``#frag`` and ``''`` attach to the root; paths attach below the
     root with their dot segments resolved.
     """
-    h = F.coalesce(href, F.lit(""))
+    h = F.regexp_replace(F.translate(F.coalesce(href, F.lit("")), "\t\r\n", ""), r"\A[\x00-\x20]+", "")
     path = F.regexp_extract(h, r"^([^?#]*)", 1)
     return (F.when(h.rlike(SCHEME_PATTERN), h)
             .when(h.startswith("//"), F.concat(url_scheme(base), F.lit(":"), h))
