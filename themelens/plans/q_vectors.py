@@ -227,3 +227,27 @@ def q_density_planted(spark, sf_dir):
     near = F.transform(vx.as_double_array("embedding"), lambda x: x * 0.3)
     moved = _emb(spark, sf_dir).select("vec_id", F.concat(near, place).alias("embedding"))
     return density_cluster(moved).select("vec_id", "cluster")
+
+
+@query("pca_reduce_variances", oracle="""
+SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad_mean, CAST(0 AS BIGINT) AS n_bad_cov, CAST(0 AS BIGINT) AS n_bad_order,
+       CAST(0 AS BIGINT) AS n_bad_total FROM embeddings""")
+def q_pca_reduce_variances(spark, sf_dir):
+    """R2 invariants: the reduced columns have mean 0, are uncorrelated, fall in variance, and hold no more of it than there is
+    but at least their share by number."""
+    e = _emb(spark, sf_dir)
+    n = e.count()
+    reduced = projection.pca_reduce(e, n).select("reduced")
+    means = projection.vector_mean(reduced, "reduced").agg(F.count_if(F.abs("mean") > 1e-9).alias("n_bad_mean"))
+    cov = projection.vector_cov(reduced, "reduced").persist()
+    own = cov.where("i = j").select(F.col("i").alias("k"), F.col("cov").alias("var"))
+    following = own.select((F.col("k") - 1).alias("k"), F.col("var").alias("next"))
+    order = own.join(following, "k").agg(F.count_if(F.col("var") < F.col("next") - 1e-12).alias("n_bad_order"))
+    off = cov.agg(F.count_if((F.col("i") != F.col("j")) & (F.abs("cov") > 1e-9)).alias("n_bad_cov"))
+    held = own.agg(F.sum("var").alias("held"), F.count("*").alias("k")).first()
+    total = projection.vector_cov(e).where("i = j").agg(F.sum("cov").alias("all"), F.count("*").alias("d")).first()
+    bad = not total["all"] * held["k"] / total["d"] - 1e-9 <= held["held"] <= total["all"] + 1e-9
+    counts = [t.first()[0] for t in (means, off, order)]  # one row each
+    cov.unpersist()
+    return e.agg(F.count("*").alias("n_rows"), *[F.lit(c).cast("long").alias(name) for c, name in zip(
+        [*counts, int(bad)], ["n_bad_mean", "n_bad_cov", "n_bad_order", "n_bad_total"])])
