@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from themelens.llm import pii, quality
-from themelens.llm.licenses import PHRASES, TEMPLATES, joined, scan_licenses, words_of
+from themelens.llm.licenses import PHRASES, TEMPLATES, block_width, joined, scan_licenses, words_of
 from themelens.llm.pii import KINDS, find_spans, redact, reliabilities, train, written
 from themelens.llm.quality import BITS, POLICIES, ablations, fails, keep, mask, rule_ledger
 
@@ -91,21 +91,17 @@ def test_quality_of_odd_rows(spark):
 
 # ---- licenses ------------------------------------------------------------------------
 
-def plain_scan(text, threshold=0.9, share=0.25):
-    text = text or ""
-    fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
-    own = words_of(text) and re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold)
-    own = own or []
+def plain_scan(text, threshold=0.9):
+    fold = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    own = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold)
     places = [(i, label) for ws, label in PHRASES for i in range(len(own)) if tuple(own[i:i + len(ws)]) == ws]
     best, labels = 0.0, {label for _, label in places}
-    for line in text.split("\n"):
-        block = set(words_of(line))
-        for label, template in TEMPLATES:
-            t = set(words_of(template))
-            part = len(block & t) / len(t)
-            if len(block & t) >= threshold * len(t) - 1e-9 and len(block) <= len(t) / share:
-                labels.add(label)
-                best = max(best, part)
+    for label, template in TEMPLATES:
+        t, width = set(words_of(template)), block_width(template, threshold)
+        part = max(len(t.intersection(own[i:i + width])) for i in range(len(own) or 1)) / len(t)
+        if part >= threshold - 1e-9:
+            labels.add(label)
+            best = max(best, part)
     at = [i for i, _ in places]
     return (len(own), len(at), min(at, default=None), max(at, default=None),
             ",".join(sorted({label for _, label in places})), ",".join(sorted(labels)), best)
@@ -117,6 +113,13 @@ LICENSED = [
     (54, "all my rights are well reserved for you and me and all of the others here today"),
     (55, "Apache license; apache-license, APACHE\nLICENSE"), (56, "Licensed under CC BY-NC 4.0"),
     (57, "general public general public license"), (58, "ſmit license K mit licen se"),
+    (59, "of this long line of twenty-six words the middle says all rights reserved, and what comes before "
+         "and after it has nothing to do with it at all"),
+    (70, TEMPLATES[1][1].replace(" of ", "\n * of ").replace(" the ", "\n * the ")),
+    (71, "filler " * 300 + "\n\n" + TEMPLATES[1][1].replace("hereby", "thereby").replace("charge", "cost") + " filler" * 300),
+    (72, "all the rights reserved"), (73, "all of the rights reserved"), (74, "reserved rights all " * 2000),
+    (75, TEMPLATES[1][1].replace("sublicense, and/or sell", "with") + " license"), (76, "\u212Aelvin MIT LICENSE \u0130"),
+    (77, " ".join(t for _, t in TEMPLATES)),
 ]
 
 
@@ -134,9 +137,30 @@ def test_licenses(spark, small_dir, which):
     assert by_row(found, *found.columns) == sorted(((d, *plain_scan(t)) for d, t in pairs(docs)), key=repr)
 
 
+def test_notices_wherever_lines_end(spark):
+    """Wide lines, wrapped notices and a few changed words; enough words far apart are no block."""
+    from pyspark.sql import functions as F
+    found = scan_licenses(frame(spark, LICENSED)).select("row.doc_id", F.col("found.label").alias("labels"))
+    labels = {r.doc_id: set(r.labels) for r in found.collect()}
+    assert "reserved" in labels[59] and "reserved" in labels[72] and "reserved" in labels[74]
+    assert not labels[54] and not labels[73] and not labels[55]
+    assert labels[70] == labels[71] == {"mit"}
+    assert labels[77] >= {label for label, _ in TEMPLATES}
+
+
+def test_many_templates(spark):
+    """The plan does not grow with the number of templates."""
+    from pyspark.sql import functions as F
+    notices = [(f"n{k}", f"notice number{k} of maker{k % 7} holds w{k} x{k * 3} y{k % 50}") for k in range(2000)]
+    docs = frame(spark, [(k, f"so the {notices[k * 40][1]} it says") for k in range(50)] + [(99, "notice of w1 x2")])
+    found = scan_licenses(docs, templates=notices).select("row.doc_id", F.col("found.label").alias("labels"))
+    assert {r.doc_id: r.labels for r in found.collect()} == {k: [f"n{k * 40}"] for k in range(50)} | {99: []}
+
+
 def test_licenses_of_nothing(spark):
     assert scan_licenses(empty(spark)).count() == 0
     assert scan_licenses(frame(spark), phrases=[]).count() == len(ROWS)
+    assert scan_licenses(frame(spark), templates=[("none", " - ")]).select("found").distinct().collect()[0].found == []
 
 
 # ---- personal data -------------------------------------------------------------------
