@@ -99,7 +99,7 @@ def test_token_files(spark, small_dir):
     for docs in (frame(spark), documents(spark, small_dir)):
         folder = shared_path(spark, "files")
         manifest = write_token_files(docs, folder, path, file_ids=20_000)
-        assert len(manifest) > 1
+        assert manifest.count() > 1
         found = read_token_files(spark, folder, manifest).orderBy("start").collect()
         expected = defaultdict(list)
         for d, t in pairs(docs):
@@ -114,7 +114,25 @@ def test_token_files(spark, small_dir):
         assert ids == sorted(ids, key=lambda d: (d is not None, d or 0))
     folder = shared_path(spark, "files")
     manifest = write_token_files(empty(spark), folder, path)
-    assert manifest == [] and read_token_files(spark, folder, manifest).count() == 0
+    assert manifest.count() == 0 and read_token_files(spark, folder, manifest).count() == 0
+
+
+def test_token_files_of_equal_rows(spark):
+    """Equal rows are dealt to many files and all come back; the work list is a plan, not a list of the driver's."""
+    folder = shared_path(spark, "files")
+    docs = spark.range(50_000).selectExpr("cast(null as long) AS doc_id", "cast(null as string) AS text")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merging, "false")  # rows as small as these would be put together again
+    try:
+        manifest = write_token_files(docs, folder, default_path("word_bpe_49k.json"))
+        files = manifest.orderBy("start").collect()
+    finally:
+        spark.conf.unset(merging)
+    assert len(files) > 4 and max(f.docs for f in files) < 25_000
+    assert [f.start for f in files] == [sum(g.ids for g in files[:k]) for k in range(len(files))]
+    found = read_token_files(spark, folder, manifest)
+    starts = sorted(r.start for r in found.select("start").collect())
+    assert starts == list(range(50_000)) and found.where("doc_id IS NULL AND n_tokens = 1").count() == 50_000
 
 
 def test_patterns_and_fit():

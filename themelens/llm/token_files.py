@@ -13,7 +13,7 @@ and unpacked with vectorised shifts.
 Work is dealt by ranges of (document id, hash of the text), so that one document id with
 very many rows is split as well; each task writes its documents as one or more files
 under names of its own attempt, and only the names that Spark commits in the manifest
-are read.  The driver holds one manifest row a file.
+are read.  The manifest stays a table, also where the read tasks are made from it.
 
 Defined results: a null text is the empty text (its ids are the end id alone); a null
 document id sorts first and is read back as null; rows of one document id follow each
@@ -32,6 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from themelens.operators.ranks import running_total
+
 from .common import binary, default_path, materialise, query, read, shared_path, texts
 from .subwords import WordBpe, encoder
 
@@ -140,12 +142,13 @@ def _open_fs(uri: str):
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None = 1,
-                      id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> list[tuple]:
-    """Encode ``docs`` and write the files; the manifest as (file, documents, ids, first id overall)."""
+                      id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode ``docs`` and write the files; the manifest: file, docs, ids, start (first id overall), one row a file."""
     key = F.col(id_col)
+    order = ["doc", "tie", "row"]  # the last one takes rows of one id and text apart
     rows = (docs.select(key.alias("doc"), F.col(text_col).alias("body"))
-            .withColumn("tie", F.xxhash64("body"))
-            .repartitionByRange("doc", "tie").sortWithinPartitions("doc", "tie"))
+            .withColumn("tie", F.xxhash64("body")).withColumn("row", F.monotonically_increasing_id())
+            .repartitionByRange(*order).sortWithinPartitions(*order))
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def write(batches):
@@ -177,19 +180,17 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
 
     manifest = materialise(rows.mapInArrow(
         write, "part long, seq long, file string, docs long, ids long"), "manifest")
-    found, start = [], 0
-    for r in manifest.orderBy("part", "seq").collect():
-        found.append((r.file, r.docs, r.ids, start))
-        start += r.ids
-    return found
+    return running_total(manifest, [], ["part", "seq"], "ids", "end").select(
+        "file", "docs", "ids", (F.col("end") - F.col("ids")).alias("start"))
 
 
-def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple]) -> DataFrame:
+def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids (little-endian uint32 bytes)."""
-    work = [(f, first, min(READ_DOCS, n - first), start)
-            for f, n, _, start in manifest for first in range(0, n, READ_DOCS)]
-    tasks = spark.createDataFrame(work, "file string, first long, n long, start long")
-    tasks = tasks.repartition(max(1, min(len(work), 4 * spark.sparkContext.defaultParallelism)))
+    at = F.explode(F.sequence(F.lit(0).cast("long"), F.col("docs") - 1, F.lit(READ_DOCS).cast("long")))
+    tasks = manifest.where("docs > 0").select("file", at.alias("first"), "docs", "start").select(
+        "file", "first", F.least(F.lit(READ_DOCS), F.col("docs") - F.col("first")).alias("n"), "start")
+    # the rows are small and the work behind them is not, so their number of partitions is given
+    tasks = tasks.repartition(max(1, min(tasks.count(), 4 * spark.sparkContext.defaultParallelism)))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def load(batches):
