@@ -2,15 +2,15 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from themelens.llm.common import default_path
-from themelens.llm.packing import (cut_pieces, exact_patterns, fit_repeats, pack_documents, pack_rest, packed_sequences,
-                                   plan_sequences)
+from themelens.llm.packing import (BUCKETS, cut_pieces, exact_patterns, fill_patterns, fit_repeats, pack_documents,
+                                   pack_rest, packed_sequences, plan_sequences, share_of)
 from themelens.llm.pieces import MergePieces, encode_pieces
 from themelens.llm.subwords import ByteBpe, WordBpe
 from themelens.llm.token_files import FileReader, FileWriter, pack, read_token_files, unpack, write_token_files
@@ -135,6 +135,32 @@ def test_token_files_of_equal_rows(spark):
     assert starts == list(range(50_000)) and found.where("doc_id IS NULL AND n_tokens = 1").count() == 50_000
 
 
+def test_the_fit_beats_best_fit():
+    """Where best fit decreasing is poor, the fitted patterns take fewer sequences, alone and in the plan."""
+    for low, high, n in ((250, 500, 4000), (100, 700, 20_000)):
+        counts = Counter(np.random.default_rng(0).integers(low, high, n).tolist())
+        histogram = np.zeros(1025)
+        histogram[list(counts)] = list(counts.values())
+        patterns = exact_patterns(np.array(sorted(counts)), 1024)
+        fitted = sorted(fit_repeats(histogram, patterns).items(), key=lambda kv: (-kv[1], kv[0]))
+        fit, half, plain = (sum(m for _, m in fill_patterns(dict(counts), patterns, fitted, share, 1024))
+                            for share in (1.0, 0.5, 0.0))
+        assert fit < plain and half < plain
+        assert sum(m for _, m in plan_sequences(counts, 1024)) <= min(fit, half)
+
+
+def test_packing_of_equal_rows(spark):
+    """Equal rows fall into all shares of their length, and fill sequences without gaps."""
+    docs = spark.range(20_000).selectExpr("cast(null as long) AS doc_id", "'one and the same text' AS text")
+    pieces, placed = pack_documents(docs, default_path("byte_bpe_50k.json"), size=64)
+    shares = [r["count"] for r in pieces.groupBy(share_of("piece_id")).count().collect()]
+    assert len(shares) == BUCKETS and max(shares) < 3 * 20_000 / BUCKETS
+    length = pieces.first().length
+    per = 64 // length
+    found = placed.groupBy("sequence_id").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("offset")).alias("at")).collect()
+    assert len(found) == -(-20_000 // per) and all(list(r["at"]) == [length * k for k in range(r["n"])] for r in found)
+
+
 def test_patterns_and_fit():
     lengths = np.array([2, 3, 4, 5, 6, 8])
     found = {tuple(sorted(v for v in p if v)) for p in exact_patterns(lengths, 10).tolist()}

@@ -5,7 +5,7 @@ Method: pattern packing by non-negative least squares.  The histogram of piece l
 sums.  On the driver, all patterns of two or three lengths that fill a sequence exactly
 are enumerated; an active-set non-negative least squares fit finds how often to repeat
 each, so that the patterns explain the histogram; the repeats, or a share of them, are
-rounded and cut to what is there; the lengths left over are packed best fit decreasing, by
+rounded down and cut to what is there (rounded up ones take pieces from better patterns); the lengths left over are packed best fit decreasing, by
 counts of equal lengths and equal gaps, never one document at a time.
 
 The plan is a table of slots for each length, whose size depends on ``size`` alone.
@@ -192,12 +192,12 @@ def plan_sequences(counts: dict[int, int], size: int) -> list[tuple[tuple[int, .
 
 
 def fill_patterns(left: dict[int, int], patterns: np.ndarray, fitted, share: float, size: int):
-    """Recipes for a share of the fitted repeats, rounded and cut to what is there, and for the rest."""
+    """Recipes for a share of the fitted repeats, rounded down and cut to what is there, and for the rest."""
     recipes = []
     for k, repeats in fitted:
         lengths = tuple(int(v) for v in patterns[k][::-1] if v)
         need = Counter(lengths)
-        n = min([int(repeats * share + 0.5), *(left[v] // m for v, m in need.items())])
+        n = min([int(repeats * share + 1e-6), *(left[v] // m for v, m in need.items())])
         if n > 0:
             recipes.append((lengths, n))
             for v, m in need.items():
@@ -228,12 +228,17 @@ def slots(recipes: list[tuple[tuple[int, ...], int]], size: int):
     return starts, np.array(ranks, dtype=np.int64), np.array(sequences, dtype=np.int64), np.array(offsets, dtype=np.int64)
 
 
-def place(pieces: DataFrame, size: int, keys: list[str]) -> DataFrame:
+def share_of(key: str):
+    """The share of its length in which a piece is ranked."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+
+
+def place(pieces: DataFrame, size: int, key: str) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (with a column ``length`` from 1 to ``size``).
 
-    ``keys`` order the pieces of one length; equal rows may swap places.
+    ``key`` tells the pieces apart, also those of equal documents, and so deals them evenly.
     """
-    share = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    share = share_of(key)
     shared = pieces.withColumn("share", share)
     counted = shared.groupBy("length", "share").count().collect()  # at most size * BUCKETS rows
     table = np.zeros((size + 1, BUCKETS), dtype=np.int64)
@@ -242,7 +247,7 @@ def place(pieces: DataFrame, size: int, keys: list[str]) -> DataFrame:
     before = np.cumsum(table, axis=1) - table
     totals = {k: int(n) for k, n in enumerate(table.sum(axis=1)) if n}
     plan = pieces.sparkSession.sparkContext.broadcast((before, *slots(plan_sequences(totals, size), size)))
-    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy(*keys)))
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("length", "share").orderBy(key)))
     names = [f.name for f in pieces.schema]
     at_length, at_share, at_rank = (ranked.columns.index(c) for c in ("length", "share", "rank"))
 
@@ -283,7 +288,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 2, size: int = 1024
     pieces = cut_pieces(docs, path, end_id, size, id_col, text_col).withColumn("piece_id", F.monotonically_increasing_id())
     pieces = materialise(pieces, "pieces")
     light = pieces.select("piece_id", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
-    return pieces, place(light, size, ["doc_id", "piece", "start", "ids_crc32"])
+    return pieces, place(light, size, "piece_id")
 
 
 @query("op2_best_fit_packing")
