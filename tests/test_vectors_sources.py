@@ -61,6 +61,39 @@ def test_kmeans_fit_invariants(spark):
         assert r.cluster == int(np.argmin(((c - np.array(r.embedding)) ** 2).sum(1)))
 
 
+def test_kmeans_labels_do_not_depend_on_partitions(spark):
+    """Dense and sparse vectors, equal and missing ones: the same centres and labels on 1 and 7 partitions."""
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(7)
+    blobs = [(i, Vectors.dense((rng.normal(0, 0.3, 5) + 5 * (i % 4)).tolist())) for i in range(200)]
+    blobs += [(200 + i, blobs[0][1]) for i in range(50)] + [(250, None)]
+    sparse = [(i, Vectors.sparse(300, {int(j): float(rng.random()) for j in {i % 3, *rng.integers(0, 300, i % 9).tolist()}}))
+              for i in range(150)] + [(150, Vectors.sparse(300, {}))]
+    for rows, k in ((blobs, 4), (sparse, 3)):
+        df = spark.createDataFrame(rows, ["id", "features"])
+        runs = []
+        for parts, order in ((1, "id"), (7, "rand(3)")):
+            dealt = df.orderBy(F.expr(order)).repartition(parts)
+            model, lab = kmeans.kmeans_fit(dealt, k=k, id_col="id")
+            runs.append((np.array(model.clusterCenters()).tobytes(), sorted((r.id, r.cluster) for r in lab.collect() if r.cluster is not None)))
+        assert runs[0] == runs[1]
+        centers = np.array(model.clusterCenters())
+        dense = {i: v.toArray() for i, v in rows if v is not None}
+        assert all(label == ((centers - dense[i]) ** 2).sum(axis=1).argmin() for i, label in runs[0][1])
+        assert len(runs[0][1]) == len(dense)
+    assert len({label for i, label in runs[0][1]}) == 3
+
+
+def test_kmeans_with_few_distinct_vectors(spark):
+    from pyspark.ml.linalg import Vectors
+    df = spark.createDataFrame([(i, Vectors.dense([float(i % 2), 1.0])) for i in range(9)], ["id", "features"])
+    model, lab = kmeans.kmeans_fit(df, k=5, id_col="id")
+    assert sorted(c.tolist() for c in model.clusterCenters()) == [[0.0, 1.0], [1.0, 1.0]]
+    assert lab.groupBy("cluster").count().count() == 2
+    _, none = kmeans.kmeans_fit(df.where("id < 0"), k=2)
+    assert none.columns == ["id", "features", "cluster"] and none.count() == 0
+
+
 def test_unknown_method_raises(spark):
     _, df = _points(spark)
     with pytest.raises(ValueError):

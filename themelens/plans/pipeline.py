@@ -75,7 +75,7 @@ def theme_pipeline(records: DataFrame, k: int = 6, top_n: int = 15, method: str
     # K-means makes several passes: keep only what later steps read
     vec = model.with_vectors("features").drop("tf_kept", "weights").persist()
     if method == "kmeans":
-        _, docs = kmeans.kmeans_fit(vec, "features", k=k, seed=seed)
+        _, docs = kmeans.kmeans_fit(vec, "features", k=k, seed=seed, id_col="doc_id")
     else:
         # density clustering works on dense rows, as the reference densifies its matrix
         from pyspark.ml.functions import vector_to_array

@@ -87,6 +87,29 @@ def q_kmeans_lloyd_step(spark, sf_dir):
     return kmeans.lloyd_step(e, centers).select("cluster", "dim", F.round("value", 6).alias("value"))
 
 
+def _sql_next(n: int) -> str:
+    """Assignments ``asg{n}`` to the means of the assignments before."""
+    before = f"asg{n - 1}" if n > 1 else "asg"
+    return f""",
+cl{n} AS (SELECT a.cluster, lv.dim, avg(lv.x) AS cx FROM {before} a JOIN lv USING (vec_id) GROUP BY a.cluster, lv.dim),
+d{n} AS (SELECT lv.vec_id, c.cluster, sum((lv.x - c.cx) * (lv.x - c.cx)) AS r
+       FROM lv JOIN cl{n} c ON lv.dim = c.dim GROUP BY lv.vec_id, c.cluster),
+asg{n} AS (SELECT vec_id, cluster FROM (
+           SELECT vec_id, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY round(r, 9), cluster) AS rn FROM d{n})
+         WHERE rn = 1)"""
+
+
+@query("kmeans_fixed_start", oracle=SQL_ASSIGN + _sql_next(1) + _sql_next(2) + """
+SELECT vec_id, cluster FROM asg2""")
+def q_kmeans_fixed_start(spark, sf_dir):
+    """C1 labels after two iterations from the vectors of the smallest ids."""
+    from pyspark.ml.functions import array_to_vector
+    e = read_table(spark, sf_dir, "embeddings").select(
+        "vec_id", "embedding", array_to_vector(vx.as_double_array("embedding")).alias("features"))
+    start = kmeans.first_k_centers(e, K, "vec_id", "embedding")
+    return kmeans.kmeans_fit(e, max_iter=2, tol=0.0, start=start, id_col="vec_id")[1].select("vec_id", "cluster")
+
+
 @query("kmeans_fit", oracle="""
 SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_bad_label, CAST(0 AS BIGINT) AS n_misassigned FROM embeddings""")
 def q_kmeans_fit(spark, sf_dir):
