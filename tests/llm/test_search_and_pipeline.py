@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from themelens.llm import topk
 from themelens.llm.catalogue import ORACLES, QUERIES
+from themelens.llm.common import materialise
 from themelens.llm.topk import top_k
 
 from .cases import PARAGRAPH, Sets, by_row, empty, frame
@@ -38,7 +39,6 @@ def plain_top(rows, k, every):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "GROUP", 64)
     monkeypatch.setattr(topk, "BLOCK", 4)
     monkeypatch.setattr(topk, "STEP", 16)
     r = random.Random(8)
@@ -47,11 +47,44 @@ def test_top_k(spark, monkeypatch):
     rows += [(400, None), (None, [1.0] * 6), (401, []), (450, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (451, [float("nan")] * 6),
              (452, [float("inf")] + [0.0] * 5), (500, [1.0, 2.0]), (501, [2.0, 2.0]), (550, [9.0]), (10, [5.0] * 6), (10, [-5.0] * 6)]
     table = spark.createDataFrame([(*x, "id", "v") for x in rows], "vec_id long, embedding array<float>, id string, v string").repartition(3)
-    found = top_k(table, F.col("id") % 10 == 0, k=7)
-    assert by_row(found, "query_id", "rank", "vec_id", "score") == sorted(plain_top(rows, 7, 10), key=repr)
+    expected = sorted(plain_top(rows, 7, 10), key=repr)
+    for group in (16, 64, 4096):
+        found = top_k(table, F.col("id") % 10 == 0, k=7, group=group)
+        assert by_row(found, "query_id", "rank", "vec_id", "score") == expected
     assert top_k(table.where("false"), F.col("id") % 10 == 0).count() == 0
 
 
+def compared(spark, n, group):
+    """Share of all pairs of a query and a candidate whose groups meet, on vectors around n / 500 centres."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(n // 500, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    vectors = 200 * centres[np.arange(n) % len(centres)] + r.normal(size=(n, 16))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vectors.round().astype(int).tolist())], "id long, v array<long>")
+    search, _ = topk.prepare(materialise(rows, "clustered"), F.col("id") % 50 == 0, 5, group)
+    sizes = search.home.where("query_id IS NULL").select(*topk.PLACE, "n")
+    assert sizes.agg(F.sum("n")).first()[0] == n and sizes.agg(F.max("n")).first()[0] < 3 * group
+    home = search.asked.join(sizes, topk.PLACE).agg(F.sum("n")).first()[0]
+    return (home + (search.routes.agg(F.sum("n")).first()[0] or 0)) / (n * -(-n // 50))
+
+
+def test_top_k_meets_few_groups(spark):
+    """Queries go to groups that may hold a better score, and to fewer of all as the table grows."""
+    small, large = compared(spark, 10_000, 500), compared(spark, 40_000, 500)
+    assert large < small / 2 and large < 0.15
+
+
+def test_top_k_hot_vector(spark):
+    """20,000 rows of one vector, half of them of one id, are dealt to groups of bounded size."""
+    rows = spark.range(20_000).select(F.when(F.col("id") < 10_000, F.col("id")).otherwise(50).alias("vec_id"),
+                                      F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    vectors = materialise(topk.quantise(rows, 256.0, "vec_id", "embedding"), "hot")
+    search, _ = topk.prepare(vectors, F.col("id") == 50, 5, 1000)
+    assert search.home.where("query_id IS NULL").agg(F.max("n")).first()[0] < 2000
+    found = top_k(rows, F.col("id") == 50, group=1000).collect()
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(k + 1, k, 5 * 256 ** 2) for k in range(5)]
+
+
 @pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op3_line_dedup"}))
 def test_oracles(spark, small_dir, name):
     import duckdb
