@@ -159,16 +159,46 @@ def plain_lines(rows, edits=2):
     for i, a in enumerate(distinct):
         for j in range(i):
             b = distinct[j]
-            if min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= edits and distance(a, b) <= min(
+            x, y = a.split(), b.split()
+            fewer = min(len(x), len(y))
+            if fewer >= 27:
+                most = next(e for e in range(100) if (e + 2) ** 3 > fewer)
+                if abs(len(x) - len(y)) <= most and distance(x, y) <= most:
+                    sets.join(i, j)
+            elif min(len(a), len(b)) >= 10 and abs(len(a) - len(b)) <= edits and distance(a, b) <= min(
                     edits, min(len(a), len(b)) // 10):
                 sets.join(i, j)
     return distinct, sets
 
 
+def test_word_keys():
+    """Lines within their words' bound share a key that one of them is indexed under."""
+    r, plans = random.Random(4), {}
+    assert [int(L.word_edits(n)) for n in (27, 63, 64, 124, 125, 999, 1000, 10 ** 6)] == [2, 2, 3, 3, 4, 8, 9, 99]
+    for _ in range(1500):
+        a = [r.choice([b"ab", b"c", b"def", b"gh"]) for _ in range(r.choice([27, 28, 40, 63, 64, 66, 125, 127]))]
+        b = list(a)
+        for _ in range(r.randrange(5)):
+            at = r.randrange(len(b))
+            b[at:at + r.randrange(2)] = [r.choice([b"ab", b"x"])] * r.randrange(2)
+        d, fewer = distance(a, b), min(len(a), len(b))
+        if fewer < 27:
+            continue
+        most = int(L.word_edits(fewer))
+        assert L.within_words(a, b, most) == (d <= most)
+        if d <= most:
+            (ia, pa), (ib, pb) = L.word_keys(a, plans), L.word_keys(b, plans)
+            assert set(ia) & set(ib + pb) or set(ib) & set(ia + pa)
+    for n in (1000, 8000, 64_000):  # keys grow with words
+        index, probe = L.word_keys([b"%d" % k for k in range(n)], {})
+        assert len(index) == int(L.word_edits(n)) + 1 and len(index + probe) < n / 2
+
+
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)  # so that hot keys are split
     r = random.Random(9)
     base = [" ".join("".join(r.choice("abcdeé") for _ in range(r.randrange(2, 8))) for _ in range(r.randrange(1, 9))) for _ in range(60)]
+    long = [" ".join(r.choice(base).split()[0] for _ in range(n)) for n in (24, 26, 27, 28, 29, 40, 62, 64, 66, 130)]
     rows = []
     for d in range(60):
         own = []
@@ -176,6 +206,12 @@ def test_line_dedup(spark, monkeypatch):
             line = r.choice(base)
             own.append(edited(r, line.encode(), b"abc ", r.choice([0, 0, 1, 2, 3])).decode("utf-8", "ignore"))
         own += [f"a template line with the number {r.randrange(90)}"] * r.randrange(3) + [""] * r.randrange(2)
+        for _ in range(r.randrange(3)):
+            line = r.choice(long).split()
+            for _ in range(r.choice([0, 1, 1, 2, 3, 4])):
+                at = r.randrange(len(line))
+                line[at:at + r.randrange(2)] = [r.choice(["unexpectedly", "漢字", "to"])] * r.randrange(2)
+            own.append(r.choice([" ", "  ", "\t"]).join(line))
         rows.append((d, "\n".join(own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     distinct, sets = plain_lines(rows)
@@ -191,6 +227,19 @@ def test_line_dedup(spark, monkeypatch):
     assert by_row(dedup_lines(docs), "doc_id", "text", "n_lines") == sorted(expected, key=repr)
 
 
+def test_line_dedup_of_changed_words(spark):
+    """A changed word of a long line, however long itself; a very long text of one line; many alike lines."""
+    words = [f"word{k}" for k in range(36)]
+    other = [*words[:20], "incomprehensibility", *words[21:]]
+    far = [*words[:5], "a", "b", "c", *words[8:]]
+    vast = [f"w{k * 7919 % 50_000}" for k in range(50_000)]
+    vaster = [w + "!" if k % 1500 == 7 else w for k, w in enumerate(vast)]  # 34 words of 50,000; up to 35 may differ
+    many = [" ".join([*words[:k % 33], "x" * (k % 50 + 1), *words[k % 33 + 1:]]) for k in range(1500)]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(far)), (4, " ".join(vast)), (5, " ".join(vaster)), (6, "\n".join(many))]
+    found = {r.doc_id: (r.n_lines, r.n_removed) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (1, 0), 2: (1, 1), 3: (1, 0), 4: (1, 0), 5: (1, 1), 6: (1500, 1500)}
+
+
 def test_line_dedup_of_odd_rows(spark):
     found = {(r.doc_id, r.text, r.n_lines, r.n_removed) for r in dedup_lines(frame(spark)).collect()}
     assert {(1, "", 0, 0), (2, None, 0, 0), (7, "  \n\t ", 0, 0), (13, "\n\n", 0, 0)} <= found

@@ -1,18 +1,22 @@
 """Line dedup: segment-partition edit join over the distinct lines of a corpus.
 
-Two lines are alike if at most ``edits`` bytes have to be inserted, deleted or replaced to
-turn one into the other, and no more than a tenth of the shorter line's bytes.  Alike
-lines form classes (connected components); of each class the first line of the corpus
-stays and all its other occurrences are removed from their texts.  Exact copies belong to
-their line's class.
-
-A line is cut into ``edits + 1`` segments; an alike line must hold one of them unchanged.
-Segments are indexed under (line length, segment number, hash), and every line probes the
-lengths from its own down to ``edits`` less, with only those substrings whose place allows
-the other segments to match (multi-match-aware selection).  Keys met by two lines give
+Two lines of at least ``WORDS`` words each are alike if the words that have to be inserted,
+deleted or replaced to turn one into the other are at most the cube root of the shorter
+one's number of words, less one: 2 from 27 words on, 3 from 64, 9 from 1000.  Two others are
+alike if that holds of at most ``edits`` bytes, and no more than a tenth of the shorter
+line's.  Alike lines form classes (connected components); of each class the first line of the
+corpus stays and all its other occurrences are removed from their texts.  Exact copies belong
+to their line's class.
+
+A line is cut into as many segments as the edits allowed and one more; an alike line must
+hold one of them unchanged.  Segments (of words, or of bytes) are indexed under (line length,
+segment number, hash), and every line probes the lengths from its own down, as far as edits
+allow, with only those substrings whose place allows the other segments to match
+(multi-match-aware selection).  There are about a third as many of these as the cube of the
+edits, so with their cube root a line's keys grow no faster than its words.  Keys met by two lines give
 candidates.  A key that very many lines meet is split into blocks that are compared
 pairwise.  Candidates are verified with a banded bit-parallel edit distance, after common
-ends and a letter-count bound; lines already connected in a group are not compared again,
+ends and a bound by counts of letters or words; lines already connected in a group are not compared again,
 and only a spanning forest leaves the task.
 
 Texts are shuffled compressed.  The order of occurrences is: document ids before null,
@@ -37,6 +41,10 @@ from .components import connected_components
 EDITS = 2
 #: A line allows one edit for so many of its bytes.
 BYTES_AN_EDIT = 10
+#: Lines of so many words are compared by words.
+WORDS = 27
+#: Word counts whose segments a task remembers.
+KNOWN_COUNTS = 1024
 #: Lines of one key that are compared with each other in one block.
 BLOCK = 512
 #: Distinct lines that a task remembers so as not to send their keys twice.
@@ -79,8 +87,35 @@ def keys_of(line: bytes, edits: int, plans: dict) -> tuple[list[int], list[int]]
     return index, probe
 
 
-def allowed(n: int, edits: int) -> int:
-    return min(edits, n // BYTES_AN_EDIT)
+def word_edits(n):
+    """Words that may differ in lines of ``n`` words (a number or an array)."""
+    return (np.cbrt(n) + 1e-9).astype(int) - 1
+
+
+def word_keys(words: list[bytes], plans: dict) -> tuple[list[int], list[int]]:
+    """(index keys, probe keys) of a line of at least ``WORDS`` words, by runs of its words."""
+    from xxhash import xxh64_intdigest as xxh
+
+    n = len(words)
+    plan = plans.get(n)
+    if plan is None:
+        plan = []
+        for length in range(n, WORDS - 1, -1):
+            more, edits = n - length, int(word_edits(length))
+            if more > edits:
+                break
+            for k, (start, size) in enumerate(segments(length, edits)):
+                low = max(start - k, start + more - (edits - k), 0)
+                high = min(start + k, start + more + (edits - k), n - size)
+                seed = (1 << 48) + (length << 16) + k
+                plan += [(p, p + size, seed, not more and p == start) for p in range(low, high + 1)]
+        if n <= KNOWN_COUNTS:
+            plans[n] = plan
+    line, ends = memoryview(b" ".join(words)), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
+    index, probe = [], []
+    for a, b, seed, own in plan:
+        (index if own else probe).append(xxh(line[ends[a]:ends[b] - 1], seed))
+    return index, probe
 
 
 def common_start(a: bytes, b: bytes) -> int:
@@ -100,6 +135,21 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     end = m - (differ.bit_length() + 7) // 8
     if end:
         a, b = a[:-end], b[:-end]
+    return without_common_ends(a, b, most)
+
+
+def within_words(a: list[bytes], b: list[bytes], most: int) -> bool:
+    """Whether the edit distance of two lists of words is at most ``most``."""
+    start, end = 0, 0
+    m = min(len(a), len(b))
+    while start < m and a[start] == b[start]:
+        start += 1
+    while end < m - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    return without_common_ends(a[start:len(a) - end], b[start:len(b) - end], most)
+
+
+def without_common_ends(a, b, most: int) -> bool:
     if len(a) < len(b):
         a, b = b, a
     if not b or len(a) <= most:
@@ -109,7 +159,7 @@ def within(a: bytes, b: bytes, most: int) -> bool:
     return banded(a, b, most) <= most
 
 
-def banded(a: bytes, b: bytes, most: int) -> int:
+def banded(a, b, most: int) -> int:
     """Edit distance up to ``most`` (more: any number above it), for ``len(a) >= len(b)`` and ``len(a) > most``.
 
     Bit-parallel along a diagonal band: bit ``width - 1`` of a word is the row ``most`` below
@@ -119,7 +169,7 @@ def banded(a: bytes, b: bytes, most: int) -> int:
         return most + 1
     width = 2 * most + 2
     full = (1 << width) - 1
-    where: dict[int, int] = {}
+    where: dict = {}
     for r, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << r
     below = (full >> (most + 1)) ^ full
@@ -165,18 +215,27 @@ def compare_group(nodes, parts, index, lines, two_blocks: bool, edits: int, know
         if node not in first or index[k]:
             first[node] = k
     own = sorted(first.values(), key=lambda k: nodes[k])
-    sizes = np.array([len(lines[k]) for k in own])
-    letters = np.zeros((len(own), 32), dtype=np.int16)
+    sizes, words = np.array([len(lines[k]) for k in own]), [lines[k].split() for k in own]
+    counts = np.array([len(w) for w in words])
+    letters, bags = (np.zeros((len(own), 32), dtype=np.int32) for _ in range(2))
     for r, k in enumerate(own):
-        letters[r] = np.bincount(np.frombuffer(lines[k], dtype=np.uint8) & 31, minlength=32).clip(max=30_000)
+        letters[r] = np.bincount(np.frombuffer(lines[k], dtype=np.uint8) & 31, minlength=32)
+        if counts[r] >= WORDS:
+            bags[r] = np.bincount([hash(w) & 31 for w in words[r]], minlength=32)
     forest, links = Forest(len(own)), []
     part, is_index = np.array([parts[k] for k in own]), np.array([index[k] for k in own], dtype=bool)
     for r in range(len(own) - 1):
-        most = np.minimum(edits, np.minimum(sizes[r + 1:], sizes[r]) // BYTES_AN_EDIT)
-        near = (np.abs(sizes[r + 1:] - sizes[r]) <= most) & (is_index[r] | is_index[r + 1:])
+        fewer = np.minimum(counts[r + 1:], counts[r])
+        by_word = fewer >= WORDS
+        most = np.where(by_word, word_edits(fewer), np.minimum(edits, np.minimum(sizes[r + 1:], sizes[r]) // BYTES_AN_EDIT))
+        more = np.where(by_word, np.abs(counts[r + 1:] - counts[r]), np.abs(sizes[r + 1:] - sizes[r]))
+        near = (more <= most) & (is_index[r] | is_index[r + 1:])
         if two_blocks:
             near &= part[r + 1:] != part[r]
-        near &= np.abs(letters[r + 1:] - letters[r]).sum(axis=1) <= 2 * most
+        left = np.flatnonzero(near)
+        mine, others = np.where(by_word[left, None], bags[r], letters[r]), np.where(
+            by_word[left, None], bags[r + 1:][left], letters[r + 1:][left])
+        near[left] = np.abs(others - mine).sum(axis=1) <= 2 * most[left]
         for s in (np.flatnonzero(near) + r + 1).tolist():
             a, b = forest.root(r), forest.root(s)
             if a == b:
@@ -185,7 +244,9 @@ def compare_group(nodes, parts, index, lines, two_blocks: bool, edits: int, know
             pair = (nodes[x], nodes[y])
             same = known.get(pair)
             if same is None:
-                same = known[pair] = within(lines[x], lines[y], int(most[s - r - 1]))
+                bound = int(most[s - r - 1])
+                same = within_words(words[r], words[s], bound) if by_word[s - r - 1] else within(lines[x], lines[y], bound)
+                known[pair] = same
                 if len(known) > 100_000:
                     known.clear()
             if same:
@@ -252,7 +313,7 @@ def line_keys(rows: DataFrame, edits: int) -> DataFrame:
 
     def emit(batches):
         from xxhash import xxh3_128_digest as xxh
-        seen, plans = set(), {}
+        seen, plans, word_plans = set(), {}, {}
         for batch in batches:
             seg, digest, times, index = [], [], [], []
             for text in batch.column(0).to_pylist():
@@ -264,7 +325,11 @@ def line_keys(rows: DataFrame, edits: int) -> DataFrame:
                         continue
                     if len(seen) < SEEN:
                         seen.add(h)
-                    own, probe = keys_of(line, edits, plans)
+                    words = line.split()
+                    own, probe = word_keys(words, word_plans) if len(words) >= WORDS else ([], [])
+                    if len(words) < WORDS + edits:  # a byte is at most a word more
+                        by_byte = keys_of(line, edits, plans)
+                        own, probe = own + by_byte[0], probe + by_byte[1]
                     seg += own
                     seg += probe
                     digest.append(h[:8])
@@ -438,15 +503,35 @@ def dedup_documents(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id",
     return cut.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])
 
 
+#: Words: the furthest word reached on each diagonal with so many edits, for pairs that share nine words in a row, as alike ones do.
 OP3_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM d),
 w AS (SELECT * FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-u AS (SELECT line, strlen(line) AS size, min((doc_id, n)) AS first, row_number() OVER (ORDER BY min((doc_id, n))) AS id
-      FROM w GROUP BY line),
-e AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.id <> b.id
-        AND a.size >= 10 AND b.size >= 10
-      WHERE levenshtein(a.line, b.line) <= least(2, least(a.size, b.size) // 10)),
+u AS MATERIALIZED (SELECT line, strlen(line) AS size, min((doc_id, n)) AS first, row_number() OVER (ORDER BY min((doc_id, n))) AS id,
+             regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM w GROUP BY line),
+x AS MATERIALIZED (SELECT id, size, line, len(words) AS count, list_transform(words, lambda v: hash(v)) AS words FROM u),
+e1 AS (SELECT a.id AS x, b.id AS y FROM x a JOIN x b ON b.size BETWEEN a.size - 2 AND a.size + 2 AND a.id <> b.id
+         AND a.size >= 10 AND b.size >= 10 AND least(a.count, b.count) < 27
+       WHERE levenshtein(a.line, b.line) <= least(2, least(a.size, b.size) // 10)),
+runs AS (SELECT id, count, unnest(list_transform(range(1, count - 7), lambda p: hash(words[p:p + 8]))) AS run FROM x WHERE count >= 27),
+met AS (SELECT DISTINCT a.id AS x, b.id AS y, CAST(floor(cbrt(least(a.count, b.count)) + 1e-9) AS BIGINT) - 1 AS most
+        FROM runs a JOIN runs b ON a.run = b.run AND a.id < b.id
+        WHERE abs(a.count - b.count) <= floor(cbrt(least(a.count, b.count)) + 1e-9) - 1),
+p AS MATERIALIZED (SELECT met.x, met.y, most, a.words AS a, b.words AS b FROM met JOIN x a ON a.id = met.x JOIN x b ON b.id = met.y),
+far(x, y, edits, i, j) AS (
+  SELECT x, y, 0, 0, 0 FROM p
+  UNION
+  SELECT DISTINCT x, y, edits + 1, i + step.i, j + step.j
+  FROM (SELECT far.x, far.y, edits, most, len(a) AS la, len(b) AS lb,
+               i + same AS i, j + same AS j, unnest([{i: 1, j: 1}, {i: 1, j: 0}, {i: 0, j: 1}]) AS step
+        FROM (SELECT far.*, p.a, p.b, p.most, coalesce(list_position(list_transform(
+                list_zip(p.a[far.i + 1:], p.b[far.j + 1:]), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1, len(p.a) - far.i) AS same
+              FROM far JOIN p USING (x, y)) far) s
+  WHERE edits < most AND NOT (i = la AND j = lb) AND i + step.i <= la AND j + step.j <= lb),
+e2 AS (SELECT DISTINCT far.x, far.y FROM far JOIN p USING (x, y)
+       WHERE len(a) - i = len(b) - j AND a[i + 1:] = b[j + 1:]),
+e AS (SELECT * FROM e1 UNION ALL SELECT x, y FROM e2 UNION ALL SELECT y, x FROM e2),
 r(id, label) AS (SELECT id, id FROM u UNION SELECT e.y, r.label FROM r JOIN e ON r.id = e.x AND r.label < e.y),
 c AS (SELECT id, min(label) AS label FROM r GROUP BY id),
 k AS (SELECT u.line, h.first AS keep FROM u JOIN c USING (id) JOIN u h ON h.id = c.label),
