@@ -47,3 +47,20 @@ def test_stream_dedupes_across_batches(spark, tmp_path):
     got = sorted((r.link_acesso, r.titulo) for r in res.collect())
     assert got == [("https://h.org/a", "A"), ("https://h.org/b", "B"), ("https://h.org/c", "C")]
     assert os.path.isdir(out)
+
+
+def test_stream_records_of_a_file_and_of_a_folder(spark, tmp_path):
+    """The page table may be one parquet file or a folder of part files."""
+    import glob
+    import shutil
+
+    from themelens.plans import QUERIES
+    rows = [(i, f"https://h.org/{i}", f"<title>T{i}</title>" + PAD) for i in range(4)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).write.parquet(str(tmp_path / "many" / "pages.parquet"))
+    one = tmp_path / "one"
+    one.mkdir()
+    spark.read.parquet(str(tmp_path / "many" / "pages.parquet")).coalesce(1).write.parquet(str(tmp_path / "part"))
+    shutil.copy(glob.glob(str(tmp_path / "part" / "part-*.parquet"))[0], one / "pages.parquet")
+    for at in ("many", "one"):
+        got = sorted(tuple(r) for r in QUERIES["stream_records"](spark, str(tmp_path / at)).collect())
+        assert got == [(i, f"T{i}", f"https://h.org/{i}") for i in range(4)]

@@ -212,8 +212,9 @@ def q_stream_records(spark, sf_dir):
     from ..session import ensure_checkpoint_dir
     from ..streaming import run_to_completion
     root = os.path.join(ensure_checkpoint_dir(spark), f"stream-{uuid.uuid4().hex}")
-    out = run_to_completion(spark, sf_dir, os.path.join(root, "records"),
-                            checkpoint=os.path.join(root, "ckpt"), glob="pages.parquet")
+    # as a pattern the name stands for one file as well as for a folder of files
+    out = run_to_completion(spark, os.path.join(sf_dir, "{pages}.parquet"), os.path.join(root, "records"),
+                            checkpoint=os.path.join(root, "ckpt"))
     return out.select("page_id", "titulo", "link_acesso")
 
 
