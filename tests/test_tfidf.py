@@ -74,3 +74,29 @@ def test_vectors_equal_long_table(spark):
     for r in m.with_vectors().select("doc_id", "features").collect():
         for idx, v in zip(r.features.indices, r.features.values):
             assert long[(r.doc_id, m.vocab_terms[idx])] == pytest.approx(v)
+
+
+def test_counts_equal_term_arrays_and_nothing_is_cached(spark):
+    """Terms of one to three words, nulls, stop words, accents; chunks of a few tokens; the fit keeps nothing in memory."""
+    from themelens.functions import text as tx
+    texts = ["", None, "não pára não pára ⅱ ½ x", "de um dia de sol e um dia", "dia sol dia", "sol_a b2 b2 b2 ﬁm", "º"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, texto_processado string").repartition(2)
+    held, tfidf.BATCH_TOKENS = tfidf.BATCH_TOKENS, 3
+    try:
+        for span, fold in (((1, 2), True), ((1, 3), False), ((2, 3), True), ((3, 3), True)):
+            arrays = tfidf.term_arrays(df, stop_words=["de", "um"], ngram_range=span, fold=fold).select("doc_id", "terms")
+            want = sorted((r.doc_id, x.term, x.tf) for r in tx.with_term_counts(arrays).collect() for x in r.tf)
+            assert sorted(map(tuple, tfidf.term_rows(df, stop_words=["de", "um"], ngram_range=span, fold=fold).collect())) == want
+            stats, n = tfidf.counted_terms(df, 1, stop_words=["de", "um"], ngram_range=span, fold=fold)
+            assert n == len(texts)
+            assert {r.term: (r.df, r.cf) for r in stats.collect()} == {
+                t: (sum(x[1] == t for x in want), sum(x[2] for x in want if x[1] == t)) for t in {x[1] for x in want}}
+        cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+        m = tfidf.fit_tfidf(df, min_df=2, max_df=1.0, stop_words=["de", "um"])
+        assert spark.sparkContext._jsc.getPersistentRDDs().size() == cached
+        kept = [r.tf_kept for r in m.docs.orderBy("doc_id").collect()]
+        arrays = tfidf.term_arrays(df, stop_words=["de", "um"]).select("doc_id", "terms")
+        assert [[(x.term, x.tf) for x in row] for row in kept] == [
+            [(x.term, x.tf) for x in r.tf if x.term in m.vocab_terms] for r in tx.with_term_counts(arrays).orderBy("doc_id").collect()]
+    finally:
+        tfidf.BATCH_TOKENS = held

@@ -167,19 +167,14 @@ def q_remove_stopwords(spark, sf_dir):
 @query("ngrams", oracle=SQL_TOKENS + """
 SELECT doc_id, term, tf FROM tf""")
 def q_ngrams(spark, sf_dir):
-    t = tfidf.term_arrays(_prepared(spark, sf_dir))
-    t = tx.with_term_counts(t.select("doc_id", "terms"))
-    return tx.explode_rows(t, ["doc_id"], "tf") \
-        .select("doc_id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"))
+    return tfidf.term_rows(_prepared(spark, sf_dir))
 
 
 @query("doc_frequency", oracle=SQL_TOKENS + """
 SELECT term, df, cf FROM stats, ndocs WHERE df >= 3 AND df <= 0.85 * ndocs.n""")
 def q_doc_frequency(spark, sf_dir):
-    t = tfidf.term_arrays(_prepared(spark, sf_dir))
-    docs_tf = tx.with_term_counts(t.select("doc_id", "terms")).drop("terms")
-    n = docs_tf.count()
-    return tfidf.prune_vocabulary(tfidf.term_stats(docs_tf), n, 3, 0.85, None) \
+    stats, n = tfidf.counted_terms(_prepared(spark, sf_dir), 3)
+    return tfidf.prune_vocabulary(stats, n, 3, 0.85, None) \
         .select("term", "df", F.col("cf").cast("long").alias("cf"))
 
 
