@@ -64,3 +64,23 @@ def test_stream_records_of_a_file_and_of_a_folder(spark, tmp_path):
     for at in ("many", "one"):
         got = sorted(tuple(r) for r in QUERIES["stream_records"](spark, str(tmp_path / at)).collect())
         assert got == [(i, f"T{i}", f"https://h.org/{i}") for i in range(4)]
+
+
+def test_lookup_and_join_give_the_same(spark, monkeypatch):
+    """Inside the row without a shuffle of tokens, or joined with a table too large for that: the same rows."""
+    from themelens.operators import lemmas
+    lem = spark.createDataFrame(LEMMAS + [("a", None, "X"), ("b", "", "X"), ("12", "doze", None), ("..", "pp", "X"), (None, "y", "X")],
+                                "surface string, lemma string, pos string")
+    rows = [(1, "as casas são 12 bonitas. et x .. ..."), (1, "b casas as a 12 \u4e00 \u00bd2 \u2167 x1"), (2, None), (2, "zz_ 3"), (3, "..."),
+            (None, "as casas"), (4, "um b dois")]
+    docs = spark.createDataFrame(rows, "doc_id long, t string")
+
+    def result():
+        out = lemmatize(docs, lem, "t", "o")
+        return out._jdf.queryExecution().toString(), sorted(map(tuple, out.collect()), key=repr)
+
+    plan, got = result()
+    assert "posexplode" not in plan
+    monkeypatch.setattr(lemmas, "INLINE_LEMMAS", 0)
+    plan, want = result()
+    assert "posexplode" in plan and got == want
