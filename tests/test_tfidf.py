@@ -100,3 +100,54 @@ def test_counts_equal_term_arrays_and_nothing_is_cached(spark):
             [(x.term, x.tf) for x in r.tf if x.term in m.vocab_terms] for r in tx.with_term_counts(arrays).orderBy("doc_id").collect()]
     finally:
         tfidf.BATCH_TOKENS = held
+
+
+def test_counting_holds_few_tokens():
+    """What a task holds while it counts doesn't grow with its texts; the counts are those of all texts."""
+    import tracemalloc
+
+    import numpy as np
+    texts = (f"aa bb w{i % 5000} " * 100 for i in range(4000))
+    found, pieces = {}, 0
+    tracemalloc.start()
+    for terms, group, _, tf in tfidf._counted(texts, tfidf.HELD_TOKENS, [], (1, 1)):
+        pieces += 1
+        for term, df, cf in zip(terms.to_pylist(), np.bincount(group), np.bincount(group, tf)):
+            found[term] = found.get(term, np.zeros(2)) + (df, cf)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(found["aa"]) == [4000, 400_000] and list(found["w7"]) == [1, 100] and pieces > 1
+    assert peak < 100 << 20
+
+
+def test_cleaning_is_computed_once(spark):
+    """The length filter takes the cleaned text; it doesn't clean the text again."""
+    from themelens.operators import textprep
+    df = spark.createDataFrame([(1, "Um título", "Resumo  com espaços. " * 5), (2, "", None)], "doc_id long, titulo string, resumo string")
+    out = textprep.prepare_text(df).select("doc_id", "texto_processado")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    assert [r.texto_processado[:24] for r in out.collect()] == ["um título. resumo com es"]
+
+
+def test_naming_reads_keywords_as_a_table(spark, small_dir):
+    """The clusters' keywords are computed once, not once for every use in naming."""
+    import __spark_entry__ as E
+    for name in ("theme_pick_in_corpus", "theme_scores_in_corpus", "fallback_name"):
+        plan = E.queries()[name](spark, small_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "ArrowEvalPython" not in plan, name
+
+
+def test_language_labels_do_not_shuffle_documents(spark, small_dir):
+    """The few labels go to the documents by their measured size."""
+    from themelens.plans.q_text import lang_clusters
+    from themelens.session import written
+    docs = written(spark.range(3000).selectExpr("id AS doc_id", "CAST(id % 3 AS STRING) AS lang", "sha2(CAST(id AS STRING), 256) AS rest"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4096")
+    try:
+        out = lang_clusters(docs)
+        assert "BroadcastHashJoin" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert [tuple(r) for r in out.groupBy("lang", "cluster").count().orderBy("lang").collect()] == [("0", 0, 1000), ("1", 1, 1000), ("2", 2, 1000)]

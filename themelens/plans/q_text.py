@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicon as lx
 from ..functions import text as tx
 from ..operators import textprep, tfidf, themes
+from ..session import written
 from ..sources.tables import document_records, read_table
 from .registry import query, sql_list
 
@@ -85,12 +86,12 @@ def _model(spark, sf_dir, **kw):
 def lang_clusters(df):
     """Stand-in labels: cluster = rank of the language among distinct languages.
 
-    The distinct-language table is tiny; ranking it needs no partitioning and the
-    join back is planned by AQE as a broadcast from its measured size.
+    The distinct-language table is tiny; ranking it needs no partitioning.  It is written, so that the join
+    back is planned from its measured size before the documents are shuffled.
     """
     langs = df.select("lang").distinct()
     ranked = langs.withColumn("cluster", (F.dense_rank().over(Window.orderBy("lang")) - 1).cast("long"))
-    return df.join(ranked, "lang")
+    return df.join(written(ranked), "lang")
 
 
 # ------------------------------------------------------------------ T
