@@ -151,3 +151,25 @@ def test_language_labels_do_not_shuffle_documents(spark, small_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert [tuple(r) for r in out.groupBy("lang", "cluster").count().orderBy("lang").collect()] == [("0", 0, 1000), ("1", 1, 1000), ("2", 2, 1000)]
+
+
+def test_terms_are_not_held_before_the_shuffle(spark):
+    """A task hands its counted terms straight to the shuffle: no hash table of them in the map task."""
+    df = spark.createDataFrame([(1, "um dois tres dois"), (2, "dois quatro"), (3, None)], "doc_id long, texto_processado string")
+    stats = tfidf.term_stats(df, stop_words=[], ngram_range=(1, 1))
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.rindex("Exchange"):]
+    assert {r.term: (r.df, r.cf) for r in stats.collect()} == {"um": (1, 1), "dois": (2, 3), "tres": (1, 1), "quatro": (1, 1), None: (3, 0)}
+
+
+def test_spread_rows_are_kept_on_disk(spark):
+    """Few splits may be large: what is spread takes no executor memory."""
+    from pyspark.sql import functions as F
+
+    from themelens.sources.tables import spread_rows
+    out = spread_rows(spark.range(0, 40, 1, 1).withColumn("x", F.lit("spread")))
+    try:
+        assert out.storageLevel.useDisk and not out.storageLevel.useMemory
+        assert out.rdd.getNumPartitions() > 1 and out.count() == 40
+    finally:
+        out.unpersist()
