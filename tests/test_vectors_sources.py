@@ -160,3 +160,21 @@ def test_preview(spark):
     got = io.record_preview(df, "doc_id", columns=["titulo", "resumo"]).orderBy("doc_id", "field_pos").collect()
     assert [(r.doc_id, r.field) for r in got] == [(1, "titulo"), (2, "titulo"), (2, "resumo"), (3, "titulo")]
     assert got[0].shown == "x" * 100 + "..."
+
+
+def test_kmeans_passes_read_vectors_as_bytes(spark):
+    """Packed rows hold the entries of dense, sparse and empty vectors, also in a slice, and a step adds them up exactly."""
+    from pyspark.ml.linalg import Vectors
+    vectors = [Vectors.dense([1.5, 0.0, -2.0, 4.0]), Vectors.sparse(4, {1: 3.0, 3: -1.0}), Vectors.sparse(4, {}), Vectors.dense([0.0] * 4)]
+    rows = spark.createDataFrame([(v, i) for i, v in enumerate(vectors)], ["features", "row"])
+    packed = kmeans._packed(rows).orderBy("row")
+    assert [f.dataType.simpleString() for f in packed.schema] == ["int", "binary", "binary", "bigint"]
+    held = packed.toArrow().combine_chunks()
+    assert [kmeans._unpack(*(c.as_py() for c in row)).tolist() for row in zip(*(held[n] for n in ("size", "dims", "vals")))] == [
+        v.toArray().tolist() for v in vectors]
+    part = held.slice(1, 2).to_batches()[0]
+    starts, sizes, dims, values = kmeans._unpacked(part.column(1), part.column(2))
+    assert (starts.tolist(), sizes.tolist(), dims.tolist(), values.tolist()) == ([0, 2], [2, 0], [1, 3], [3.0, -1.0])
+    centers = np.array([[1.5, 0.0, -2.0, 4.0], [0.0, 1.0, 0.0, 0.0]])
+    moved = kmeans._step(packed, centers, 2.0 ** 30)
+    assert np.allclose(moved, [[1.5, 0.0, -2.0, 4.0], [0.0, 1.0, 0.0, -1 / 3]])
