@@ -194,6 +194,40 @@ def test_word_keys():
         assert len(index) == int(L.word_edits(n)) + 1 and len(index + probe) < n / 2
 
 
+def test_keys_of_whole_columns(spark, monkeypatch):
+    """Equal parts have equal keys wherever they stand, and nothing else has; keys sort by one number, index keys first."""
+    monkeypatch.setattr(L, "KEY_BYTES", 200)
+    r, parts = random.Random(12), {}
+    lines = [bytes(r.choice(b"abc") for _ in range(r.randrange(10, 40))) for _ in range(300)]
+    keys = L.Keys(False)
+    for line in lines:
+        keys.add(line, L.byte_plan(len(line), 2, {}), len(line), line[:1] * 8)
+    whole, h1 = keys.take()
+    at = 0
+    for line in lines:
+        plan = L.byte_plan(len(line), 2, {})
+        assert sorted(x for found in L.keys_of(line, 2, {}) for x in found) == sorted((whole[at:at + plan.count] >> 1).tolist())
+        assert set(h1[at:at + plan.count].tolist()) == {int.from_bytes(line[:1] * 8, "little")}
+        for a, b, seed, key in zip(*plan.places, plan.seed.tolist(), (whole[at:at + plan.count] >> 1).tolist()):
+            parts.setdefault((line[a:b], seed), set()).add(key)
+        at += plan.count
+    assert all(len(found) == 1 for found in parts.values()) and len(set.union(*parts.values())) == len(parts)
+    docs = spark.createDataFrame([(k, "\n".join(x.decode() for x in lines[k::20])) for k in range(20)], "doc_id long, text string")
+    met = L.met_keys(L.line_keys(docs, 2))
+    sorts = [x for x in met._jdf.queryExecution().executedPlan().toString().split("\n") if "Sort [" in x]
+    assert len(sorts) == 1 and "," not in sorts[0].split("[")[1].split("]")[0]
+    found = by_row(met.distinct(), "seg", "h1", "index")
+    every = {}
+    for line in set(lines):
+        h = int.from_bytes(xxhash.xxh3_128_digest(line)[:8], "little", signed=True)
+        for index, some in zip((True, False), L.keys_of(line, 2, {})):
+            for key in some:
+                every.setdefault(key, set()).add((h, index))
+    useful = {key: rows for key, rows in every.items() if any(i for _, i in rows) and len({h for h, _ in rows}) > 1}
+    assert useful and {(key, h) for key, h, _ in found} == {(key, h) for key, rows in useful.items() for h, _ in rows}
+    assert {(key, h) for key, h, i in found if i} == {(key, h) for key, rows in useful.items() for h, i in rows if i}
+
+
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)  # so that hot keys are split
     r = random.Random(9)

@@ -28,9 +28,14 @@ def query(name: str, oracle: str | None = None):
     return deco
 
 
+def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+    """Arrow batches hold no more than so many rows from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """Scan of a driver table; only ``columns`` are read where they are given."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    bound_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -40,16 +45,19 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), f"llm-{uuid.uuid4().hex}", name)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, arrow_rows: int = ARROW_ROWS) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Cuts the lineage: later stages re-read the files, also after executors are lost.  The
     shuffle files of the finished step are of no use then; Spark removes them once the driver
     has collected its garbage, so that is asked for, and the disk holds one step's at a time.
+    Arrow batches are bounded, also where ``read`` didn't open the table.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    bound_batches(spark, arrow_rows)
     df.write.option("compression", "zstd").parquet(path)
+    bound_batches(spark)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 

@@ -49,6 +49,16 @@ KNOWN_COUNTS = 1024
 BLOCK = 512
 #: Distinct lines that a task remembers so as not to send their keys twice.
 SEEN = 200_000
+#: Bytes of lines that are hashed at a time, about.
+KEY_BYTES = 1 << 19
+#: Keys in one Arrow batch: they are small.
+KEY_ROWS = 10_000
+#: Odd numbers that spread the bits of a key.
+BASE, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+#: What each byte stands for in a key.
+BYTE_VALUES = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
+#: Members of a group up to which pairs are met one by one.
+FEW = 8
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -63,28 +73,32 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(line: bytes, edits: int, plans: dict) -> tuple[list[int], list[int]]:
-    """(index keys, probe keys) of a line, as unsigned 64-bit hashes."""
-    from xxhash import xxh64_intdigest as xxh
+class Plan:
+    """The keys of all lines of one length: parts between two ``places``, under ``seed``; ``probe`` is 0 for an index key."""
+
+    def __init__(self, rows: list[tuple[int, int, int, bool]]):
+        self.places = [np.array([row[k] for row in rows], dtype=np.int64) for k in (0, 1)]
+        self.count = len(rows)
+        self.seed = np.array([row[2] for row in rows], dtype=np.uint64) * SPREAD
+        self.probe = np.array([not row[3] for row in rows], dtype=np.uint64)
+
 
-    n = len(line)
+def byte_plan(n: int, edits: int, plans: dict) -> Plan:
+    """The keys of lines of ``n`` bytes, at byte positions."""
     plan = plans.get(n)
     if plan is None:
-        plan = []
+        rows = []
         for length in range(n, n - edits - 1, -1):
             more = n - length
             for k, (start, size) in enumerate(segments(length, edits)):
                 low = max(start - k, start + more - (edits - k), 0)
                 high = min(start + k, start + more + (edits - k), n - size)
                 seed = length * 64 + k
-                plan += [(p, p + size, seed, not more and p == start) for p in range(low, high + 1)]
+                rows += [(p, p + size, seed, not more and p == start) for p in range(low, high + 1)]
         if len(plans) > 5000:
             plans.clear()
-        plans[n] = plan
-    index, probe = [], []
-    for a, b, seed, own in plan:
-        (index if own else probe).append(xxh(line[a:b], seed))
-    return index, probe
+        plan = plans[n] = Plan(rows)
+    return plan
 
 
 def word_edits(n):
@@ -92,14 +106,11 @@ def word_edits(n):
     return (np.cbrt(n) + 1e-9).astype(int) - 1
 
 
-def word_keys(words: list[bytes], plans: dict) -> tuple[list[int], list[int]]:
-    """(index keys, probe keys) of a line of at least ``WORDS`` words, by runs of its words."""
-    from xxhash import xxh64_intdigest as xxh
-
-    n = len(words)
+def word_plan(n: int, plans: dict) -> Plan:
+    """The keys of lines of ``n`` words, at positions counted in words."""
     plan = plans.get(n)
     if plan is None:
-        plan = []
+        rows = []
         for length in range(n, WORDS - 1, -1):
             more, edits = n - length, int(word_edits(length))
             if more > edits:
@@ -108,14 +119,80 @@ def word_keys(words: list[bytes], plans: dict) -> tuple[list[int], list[int]]:
                 low = max(start - k, start + more - (edits - k), 0)
                 high = min(start + k, start + more + (edits - k), n - size)
                 seed = (1 << 48) + (length << 16) + k
-                plan += [(p, p + size, seed, not more and p == start) for p in range(low, high + 1)]
+                rows += [(p, p + size, seed, not more and p == start) for p in range(low, high + 1)]
+        plan = Plan(rows)
         if n <= KNOWN_COUNTS:
             plans[n] = plan
-    line, ends = memoryview(b" ".join(words)), np.cumsum([0, *(len(w) + 1 for w in words)]).tolist()
-    index, probe = [], []
-    for a, b, seed, own in plan:
-        (index if own else probe).append(xxh(line[ends[a]:ends[b] - 1], seed))
-    return index, probe
+    return plan
+
+
+class Keys:
+    """Hashes of the planned parts of lines, some ``KEY_BYTES`` of lines at a time by whole columns.
+
+    A byte stands for a random number, and a part for the sum of its numbers times the powers of an odd
+    base, which is a difference of running totals, moved to the part's own place by a power of the base's
+    inverse.  A key's lowest bit is 0 for an index key and 1 for a probe key.  ``by_word``: plans count in
+    words, and every word of a line ends with a space.
+    """
+
+    def __init__(self, by_word: bool):
+        self.by_word = by_word
+        self.powers = self.inverse = np.ones(1, dtype=np.uint64)
+        self.clear()
+
+    def clear(self):
+        self.lines, self.plans, self.digests, self.sizes, self.size = [], [], [], [], 0
+
+    def add(self, line: bytes, plan: Plan, size: int, digest: bytes = b"") -> None:
+        """A line of ``size`` words or bytes."""
+        self.lines.append(line)
+        self.plans.append(plan)
+        self.digests.append(digest)
+        self.sizes.append(size)
+        self.size += len(line)
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        """The keys of the lines added since the last call, line by line, and the first half of each one's digest."""
+        if len(self.powers) <= self.size:
+            n = 2 * self.size
+            self.powers, self.inverse = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, x)])) for x in (
+                BASE, np.uint64(pow(int(BASE), -1, 1 << 64))))
+        body = np.frombuffer(b"".join(self.lines), dtype=np.uint8)
+        totals = np.zeros(self.size + 1, dtype=np.uint64)
+        np.cumsum(BYTE_VALUES[body] * self.powers[:self.size], out=totals[1:])
+        counts = [p.count for p in self.plans]
+        first = np.repeat(np.cumsum([0, *self.sizes[:-1]]), counts)
+        start, end = (first + np.concatenate([p.places[k] for p in self.plans]) for k in (0, 1))
+        if self.by_word:
+            begins = np.concatenate([[0], np.flatnonzero(body == 32) + 1])
+            start, end = begins[start], begins[end]
+        found = (totals[end] - totals[start]) * self.inverse[start] + np.concatenate([p.seed for p in self.plans])
+        found = (found ^ (found >> np.uint64(29))) * SPREAD
+        found = (found ^ (found >> np.uint64(32))) * BASE
+        found = (found & ~np.uint64(1)) | np.concatenate([p.probe for p in self.plans])
+        h1 = np.repeat(np.frombuffer(b"".join([d[:8] for d in self.digests]), dtype="<i8"), counts) if self.digests[0] else None
+        self.clear()
+        return found.view(np.int64), h1
+
+
+def parted(keys: np.ndarray) -> tuple[list[int], list[int]]:
+    """(index keys, probe keys) without their lowest bit."""
+    probe = (keys & 1).astype(bool)
+    return (keys[~probe] >> 1).tolist(), (keys[probe] >> 1).tolist()
+
+
+def keys_of(line: bytes, edits: int, plans: dict) -> tuple[list[int], list[int]]:
+    """(index keys, probe keys) of a line."""
+    keys = Keys(False)
+    keys.add(line, byte_plan(len(line), edits, plans), len(line))
+    return parted(keys.take()[0])
+
+
+def word_keys(words: list[bytes], plans: dict) -> tuple[list[int], list[int]]:
+    """(index keys, probe keys) of a line of at least ``WORDS`` words, by runs of its words."""
+    keys = Keys(True)
+    keys.add(b" ".join(words) + b" ", word_plan(len(words), plans), len(words))
+    return parted(keys.take()[0])
 
 
 def common_start(a: bytes, b: bytes) -> int:
@@ -208,6 +285,41 @@ class Forest:
         return x
 
 
+def alike(a: bytes, b: bytes, edits: int) -> bool:
+    """Whether two lines are alike."""
+    x, y = a.split(), b.split()
+    fewer = min(len(x), len(y))
+    if fewer >= WORDS:
+        most = int(word_edits(fewer))
+        return abs(len(x) - len(y)) <= most and within_words(x, y, most)
+    most = min(edits, min(len(a), len(b)) // BYTES_AN_EDIT)
+    return within(a, b, most)
+
+
+def compare_few(own, nodes, parts, index, lines, two_blocks: bool, edits: int, known: dict) -> list[tuple[int, int]]:
+    """``compare_group`` for the few members ``own``: each pair that isn't known is compared at once."""
+    forest, links = Forest(len(own)), []
+    for r, x in enumerate(own):
+        for s in range(r + 1, len(own)):
+            y = own[s]
+            if not (index[x] or index[y]) or two_blocks and parts[x] == parts[y]:
+                continue
+            a, b = forest.root(r), forest.root(s)
+            if a == b:
+                continue
+            pair = (nodes[x], nodes[y])
+            same = known.get(pair)
+            if same is None:
+                same = alike(lines[x], lines[y], edits)
+                known[pair] = same
+                if len(known) > 100_000:
+                    known.clear()
+            if same:
+                forest.up[b] = a
+                links.append(pair)
+    return links
+
+
 def compare_group(nodes, parts, index, lines, two_blocks: bool, edits: int, known: dict) -> list[tuple[int, int]]:
     """Forest of the alike pairs of a group, at least one of each pair being indexed under the key."""
     first: dict[int, int] = {}
@@ -215,6 +327,8 @@ def compare_group(nodes, parts, index, lines, two_blocks: bool, edits: int, know
         if node not in first or index[k]:
             first[node] = k
     own = sorted(first.values(), key=lambda k: nodes[k])
+    if len(own) <= FEW:
+        return compare_few(own, nodes, parts, index, lines, two_blocks, edits, known)
     sizes, words = np.array([len(lines[k]) for k in own]), [lines[k].split() for k in own]
     counts = np.array([len(w) for w in words])
     letters, bags = (np.zeros((len(own), 32), dtype=np.int32) for _ in range(2))
@@ -308,71 +422,77 @@ def occurrences(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(split, f"h1 long, h2 long, {OWNER_TYPE}, line int")
 
 
+def keys_batch(keys: Keys) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in keys.take()], names=["seg", "h1"])
+
+
 def line_keys(rows: DataFrame, edits: int) -> DataFrame:
-    """seg, h1, index: the index and probe keys of the lines long enough for an edit."""
+    """seg, h1: the index and probe keys of the lines long enough for an edit; the lowest bit of seg is 0 for an index key."""
 
     def emit(batches):
         from xxhash import xxh3_128_digest as xxh
         seen, plans, word_plans = set(), {}, {}
+        by_byte, by_word = Keys(False), Keys(True)
         for batch in batches:
-            seg, digest, times, index = [], [], [], []
             for text in batch.column(0).to_pylist():
                 for line in (text or "").encode().split(b"\n"):
-                    if len(line) < BYTES_AN_EDIT or not words_in(line):
+                    if len(line) < BYTES_AN_EDIT:
                         continue
                     h = xxh(line)
                     if h in seen:
                         continue
+                    words = line.split()
+                    n = len(words)
+                    if not n:
+                        continue
                     if len(seen) < SEEN:
                         seen.add(h)
-                    words = line.split()
-                    own, probe = word_keys(words, word_plans) if len(words) >= WORDS else ([], [])
-                    if len(words) < WORDS + edits:  # a byte is at most a word more
-                        by_byte = keys_of(line, edits, plans)
-                        own, probe = own + by_byte[0], probe + by_byte[1]
-                    seg += own
-                    seg += probe
-                    digest.append(h[:8])
-                    times.append(len(own) + len(probe))
-                    index += [True] * len(own) + [False] * len(probe)
-            h1 = np.repeat(np.frombuffer(b"".join(digest), dtype="<i8"), times)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.array(seg, dtype=np.uint64).view(np.int64)), pa.array(h1), pa.array(index, pa.bool_())],
-                names=["seg", "h1", "index"])
+                    if n >= WORDS:
+                        by_word.add(b" ".join(words) + b" ", word_plan(n, word_plans), n, h)
+                        if by_word.size >= KEY_BYTES:
+                            yield keys_batch(by_word)
+                    if n < WORDS + edits:  # a byte is at most a word more
+                        by_byte.add(line, byte_plan(len(line), edits, plans), len(line), h)
+                        if by_byte.size >= KEY_BYTES:
+                            yield keys_batch(by_byte)
+        for keys in (by_byte, by_word):
+            if keys.lines:
+                yield keys_batch(keys)
 
-    return rows.select("text").mapInArrow(emit, "seg long, h1 long, index boolean")
+    return rows.select("text").mapInArrow(emit, "seg long, h1 long")
 
 
 def met_keys(keys: DataFrame) -> DataFrame:
-    """The rows of keys that are indexed by a line and met by another one.
+    """seg, h1, index: the rows of keys that are indexed by a line and met by another one.
 
     An indexed line counts as probing its own key, so a key is of use once its first row is
-    indexed and a second line turns up; a task keeps no more than that first row.
+    indexed and a second line turns up; a task keeps no more than that first row.  The lowest bit of a key
+    sorts index rows first, so that rows are sorted by one number.
     """
-    dealt = keys.repartition("seg").sortWithinPartitions("seg", F.desc("index"), "h1")
+    dealt = keys.repartition(F.shiftright("seg", 1)).sortWithinPartitions("seg")
 
     def stream(batches):
-        last = None  # seg, h1 and whether indexed, of the open group's first row; whether it was sent
+        last = None  # seg with its lowest bit and h1 of the open group's first row; whether it was sent
         for batch in batches:
-            seg, h1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            index = batch.column(2).to_numpy(zero_copy_only=False)
-            if not len(seg):
+            key, h1 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
                 continue
-            carried = last is not None and last[0] == seg[0]
+            carried = last is not None and last[0] >> 1 == key[0] >> 1
             if carried:  # the open group's first row comes before this batch's rows
-                seg, h1, index = (np.concatenate([[v], c]) for v, c in zip(last[:3], (seg, h1, index)))
+                key, h1 = (np.concatenate([[v], c]) for v, c in zip(last[:2], (key, h1)))
+            seg, index = key >> 1, key & 1 == 0
             starts = np.flatnonzero(np.concatenate([[True], seg[1:] != seg[:-1]]))
             sizes = np.diff(np.concatenate([starts, [len(seg)]]))
             low, high = np.minimum.reduceat(h1, starts), np.maximum.reduceat(h1, starts)
             use = index[starts] & (low != high)
-            sent = bool(carried and last[3])
+            sent = bool(carried and last[2])
             if sent:
                 use[0] = True
             take = np.repeat(use, sizes)
             if sent:
                 take[0] = False
             tail = starts[-1]
-            last = (seg[tail], h1[tail], index[tail], bool(use[-1]))
+            last = (key[tail], h1[tail], bool(use[-1]))
             if take.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[take]) for c in (seg, h1, index)], names=["seg", "h1", "index"])
 
@@ -381,7 +501,7 @@ def met_keys(keys: DataFrame) -> DataFrame:
 
 def alike_links(rows: DataFrame, distinct: DataFrame, edits: int) -> DataFrame:
     """Links (a, b) between nodes of ``distinct`` that connect all alike lines."""
-    met = materialise(met_keys(line_keys(rows, edits)).distinct(), "keys")
+    met = materialise(met_keys(line_keys(rows, edits)).distinct(), "keys", arrow_rows=KEY_ROWS)
     met = materialise(met.join(distinct.select("node", "h1", "first"), "h1").select("seg", "index", "node", "first"), "candidates")
     wanted = materialise(met.select("node", "first").distinct().groupBy(
         *[F.col(f"first.{c}").alias(c) for c in OWNER]).agg(
