@@ -5,11 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from themelens.llm import lines as L
 from themelens.llm import simhash as S
+from themelens.llm.common import materialise
 from themelens.llm.components import connected_components
 from themelens.llm.lines import banded, dedup_documents, dedup_lines, keys_of, within
 from themelens.llm.simhash import fingerprint, fingerprint_links, near_duplicates, tile_links
@@ -228,6 +231,23 @@ def test_keys_of_whole_columns(spark, monkeypatch):
     assert {(key, h) for key, h, i in found if i} == {(key, h) for key, rows in useful.items() for h, i in rows if i}
 
 
+def test_batches_of_materialised_steps_are_bounded(spark):
+    """A step that didn't open its table by ``read`` gets small batches too, of texts as of rows."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    for key in ("maxRecordsPerBatch", "maxBytesPerBatch"):
+        spark.conf.unset(f"spark.sql.execution.arrow.{key}")
+    rows = spark.range(0, 3000, 1, 1)
+    small = materialise(rows.mapInArrow(sizes, "n long, bytes long"), "small").collect()
+    large = materialise(rows.select(F.repeat(F.lit("x"), 20_000).alias("text")).mapInArrow(sizes, "n long, bytes long"), "large").collect()
+    assert max(r.n for r in small) <= 1000 and sum(r.n for r in small) == 3000
+    assert max(r.bytes for r in large) < 5_000_000 and sum(r.n for r in large) == 3000
+    many = materialise(rows.mapInArrow(sizes, "n long, bytes long"), "many", arrow_rows=3000).collect()
+    assert [r.n for r in many] == [3000] and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000"
+
+
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)  # so that hot keys are split
     r = random.Random(9)

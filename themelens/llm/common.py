@@ -16,6 +16,7 @@ ORACLES: dict[str, str] = {}
 
 #: Rows of one Arrow batch: texts may be long, so batches hold few of them.
 ARROW_ROWS = 1000
+ARROW_BYTES = "4m"
 
 
 def query(name: str, oracle: str | None = None):
@@ -29,8 +30,9 @@ def query(name: str, oracle: str | None = None):
 
 
 def bound_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Arrow batches hold no more than so many rows from now on."""
+    """Arrow batches hold no more than so many rows, or some ``ARROW_BYTES``, from now on."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
