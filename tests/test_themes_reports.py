@@ -130,3 +130,33 @@ def test_pipeline_reports_save_and_folded_lexicon(spark, small_dir, tmp_path):
         path = str(tmp_path / f"out{ending}")
         saved = res.save(path)
         assert io.read_records(spark, path, schema=saved.schema).count() == saved.count()
+
+
+def test_pipeline_keeps_texts_once(spark, monkeypatch):
+    """The tables on disk hold the texts once, and the packed vectors of K-means are gone afterwards."""
+    import os
+
+    from themelens import session
+    from themelens.operators import kmeans
+    from themelens.plans import pipeline
+    from themelens.operators import tfidf
+
+    made, written = [], session.written
+
+    def kept(df):
+        out = written(df)
+        made.append((out.columns, out.inputFiles()))
+        return out
+
+    for module in (kmeans, pipeline, tfidf):
+        if hasattr(module, "written"):
+            monkeypatch.setattr(module, "written", kept)
+    words = "rede neural dados modelo treino banco consulta indice solo planta adubo colheita".split()
+    rows = [(i, f"titulo {i}", " ".join(words[(i * 5 + j * (1 + i % 3)) % 12] for j in range(30))) for i in range(24)]
+    docs = spark.createDataFrame(rows, "doc_id long, titulo string, resumo string")
+    found = pipeline.theme_pipeline(docs, k=3, tfidf_params={"min_df": 1, "max_df": 1.0}).result_table().collect()
+    assert len(found) == 24 and all(r.cluster_name for r in found)
+    there = [(columns, [f for f in files if os.path.exists(f.removeprefix("file://"))]) for columns, files in made]
+    assert sum("resumo" in columns for columns, files in there if files) <= 1
+    packed = [files for columns, files in there if "vals" in columns]
+    assert packed and not any(packed)
